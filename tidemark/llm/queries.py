@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pieces, quality, secrets, toxicity
+from . import language, pieces, quality, secrets, substrings, toxicity
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = id_remainder(F.col("__id"), 5) != 0
     path = F.concat_ws("/", "source", "lang")
     return quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), path, train=train)
+
+
+@query
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), digests=True)
