@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pieces, quality, secrets, substrings, toxicity
+from . import language, ngrams, pieces, quality, secrets, substrings, toxicity
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.join_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
