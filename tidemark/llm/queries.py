@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, ngrams, pieces, quality, secrets, substrings, toxicity
+from . import language, neighbours, ngrams, pieces, quality, secrets, substrings, topk, toxicity
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,13 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.join_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
