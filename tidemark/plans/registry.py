@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import splits  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
-
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+FLAGSHIP = QUERIES["latest_interaction"]
