@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import splits  # noqa: F401
+from . import evaluation, preparation, splits  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
-FLAGSHIP = QUERIES["latest_interaction"]
+FLAGSHIP = QUERIES["rank_metrics_micro_macro"]
