@@ -220,7 +220,7 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the space that encoding sets before it."""
         text = self.decode_raw(ids)
-        return text[1:] if text[:1] == " " else text
+        return text[1:] if ids and self.pieces[ids[0]][:1] == SPACE else text
 
 
 def _characters(raw: bytearray) -> str:
