@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -30,6 +31,13 @@ def with_checkpoints(spark: SparkSession) -> None:
         )
 
 
+def release(spark: SparkSession) -> None:
+    """Have executors delete the shuffle files of steps whose results are written: Spark does so when
+    the driver's garbage is collected, which a driver that only plans hardly ever needs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, with_checkpoints
+from .common import mix64, release, small_batches, with_checkpoints
 from .links import components
 
 PARTS = 8
@@ -170,13 +170,17 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     rows = sets(docs, n, percent, id_col, text_col).checkpoint()
     keyed = rows.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node", F.col("size").cast("int").alias("size"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("key").alias("k"), "low").checkpoint()
+    release(spark)
     hits = keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size", "low").checkpoint()
+    release(spark)
 
     stars = hits.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     reps = rows.where("size > 0").groupBy("node").agg(F.min("id").alias("rep"))
     wanted = hits.select("node").distinct().join(reps, "node")
     parts = segments(docs, wanted, n, id_col, text_col).checkpoint()
+    release(spark)
     links = counted_links(stars, parts, percent).checkpoint()
+    release(spark)
     found = components(links)
 
     # pairs that share a key but no component yet; `fragments - difference - SLACK` keys at least must agree
