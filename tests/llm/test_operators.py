@@ -116,6 +116,10 @@ def test_linked_sets_always_share_enough_keys(percent):
             f = classes.fragments(classes.of(max(len(a), len(b))))
             need = max(1, f - classes.difference(len(a), len(b)) - ngrams.SLACK)
             assert len(np.intersect1d(classes.keys(a), classes.keys(b))) >= need
+            x, y = classes.sketch(a).view(np.uint64), classes.sketch(b).view(np.uint64)
+            short = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
+            assert np.bitwise_count(x ^ y).sum() <= classes.difference(len(a), len(b))
 
 
 def test_components_of_a_path_and_a_star(spark):

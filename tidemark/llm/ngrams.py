@@ -13,10 +13,13 @@ share a passage share no whole segment, so common passages make no candidates.
 Overlaps. For the candidates the order is cut into `PARTS` fragments; the overlap of a pair is
 counted in each apart and summed per pair, and the pair is a link if the sum reaches the threshold.
 
-Only the links' components are asked for, so equal sets count as one node, each key first ties its
-nodes to its smallest one, and then only pairs that share enough keys and are not joined yet are
-counted: no link between components is lost, and a large group of near copies costs a number of
-pairs that is linear in its size. A link inside a component isn't needed.
+Only the links' components are asked for, so equal sets count as one node, and each key first ties
+its nodes to its most central one, the one whose keys are held by most; of near copies that is as a
+rule the text that the others were made from. Of the pairs that share a key but no component yet,
+those are counted whose odd sketches (a bit for the parity of the n-grams that fall on it) differ in
+no more bits than the two sets may differ in n-grams, which sketches of linked sets never do. So no
+link between components is lost, pairs that are not near each other are passed over without being
+written, and a link inside a component isn't needed. A key's nodes meet in chunks of bounded size.
 
 Cases: null texts and texts without words have the empty set, which links with nothing; a text of
 fewer than n words has its whole sequence as its one n-gram; a null id takes part, and a component
@@ -33,12 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, release, small_batches, with_checkpoints
+from .common import mix64, partitions, release, small_batches, with_checkpoints
 from .links import components
 
 PARTS = 8
 SLACK = 2  #: empty fragments that a pair may have in common without sending keys for them
 STEP = 1.5
+LEFT, RIGHT = 2_048, 8_192  #: most nodes of a key that meet in one go
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,6 +91,15 @@ class Classes:
         c = self.of(size)
         return [c, c + 1] if 100 * size >= self.percent * self.first(c + 1) else [c]
 
+    def sketch(self, grams: np.ndarray) -> np.ndarray:
+        """Parities of the n-grams by bit, four bits a difference allowed; half of the length folds
+        onto the other half to the sketch of that length."""
+        c = self.of(len(grams))
+        top = self.first(c + 1) - 1
+        bits = 128 << int(np.ceil(np.log2(max(1.0, 4 * self.difference(top, top) / 128))))
+        odd = np.bincount((mix64(grams ^ _C) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """Keys of the set's segments."""
         out, upper, sums = [], grams >> np.uint64(32), np.concatenate([[np.uint64(0)], np.cumsum(mix64(grams))])
@@ -106,28 +119,29 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, node, keys): keys only with the first of equal sets that a task meets."""
+    """(id, size, node, keys, sketch): the last two only with the first of equal sets that a task meets."""
     classes = Classes(percent)
 
     def run(batches):
         known: set[int] = set()
         for b in batches:
-            size, node, keys = [], [], []
+            size, node, keys, sketch = [], [], [], []
             for text in b.column("text").cast(pa.binary()):
                 g = shingles(text.as_py() or b"", n)
                 size.append(len(g))
                 node.append(node_of(g) if len(g) else None)
                 new = len(g) > 0 and node[-1] not in known
                 keys.append(classes.keys(g).view(np.int64) if new else [])
+                sketch.append(classes.sketch(g) if new else [])
                 if new:
                     known.add(node[-1])
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "size", "node", "keys"],
+                [b.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                ["id", "size", "node", "keys", "sketch"],
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, size long, node long, keys array<long>")
+    return rows.mapInArrow(run, "id long, size long, node long, keys array<long>, sketch array<long>")
 
 
 def segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -161,47 +175,98 @@ def counted_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame
     return total.where(100 * F.col("n") >= percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b")
 
 
+def open_pairs(side: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes of one key but different components that may be links by their sizes
+    and sketches; side: (key, node, size, sketch, component, main), main one component of the key.
+    One of the two is outside `main`, so those meet all."""
+    spark = side.sparkSession
+    outside = F.col("component") != F.col("main")
+    per = side.groupBy("key").agg(F.count(F.when(outside, 1)).alias("l"), F.count("*").alias("r")).where("l > 0")
+    per = per.select(F.col("key").alias("k"), *(F.ceil(F.col(n) / LEFT if n == "l" else F.col(n) / RIGHT).alias(n) for n in "lr"))
+    cut = side.join(per, F.col("key") == F.col("k"))
+    chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keep = ["key", "node", "size", "sketch", "component"]
+    left = cut.where(outside).select(*keep, F.lit(0).alias("side"), chunk("l").alias("x"), every("r").alias("y"))
+    right = cut.select(*keep, F.lit(1).alias("side"), every("l").alias("x"), chunk("r").alias("y"))
+    both = left.unionByName(right).select(F.xxhash64("key", "x", "y").alias("task"), "side", "node", "size", "sketch", "component")
+
+    def meet(t: pa.Table) -> pa.RecordBatch:
+        one = t.column("side").to_numpy()
+        node, size, comp = (t.column(c).to_numpy() for c in ("node", "size", "component"))
+        sk = t.column("sketch").combine_chunks()
+        length, flat = np.diff(sk.offsets.to_numpy()), sk.flatten().to_numpy().view(np.uint64)
+        short = int(length.min())
+        starts = np.cumsum(length) - length
+        folded = np.zeros((len(length), short), np.uint64)
+        for k in range(int(length.max()) // short):
+            has = length > k * short
+            folded[has] ^= flat[starts[has][:, None] + np.arange(k * short, (k + 1) * short)]
+        l, r = np.flatnonzero(one == 0), np.flatnonzero(one == 1)
+        out = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        for i in l:
+            ok = r[(comp[r] != comp[i]) & (100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i]))]
+            differ = np.bitwise_count(folded[ok] ^ folded[i]).sum(1, dtype=np.int64)
+            ok = ok[differ <= (100 - percent) * (size[ok] + size[i]) // (100 + percent)]
+            out[0], out[1] = np.append(out[0], np.minimum(node[ok], node[i])), np.append(out[1], np.maximum(node[ok], node[i]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
+
+    def run(batches):
+        """Tasks in order; the last one of a batch may go on in the next."""
+        held: list[pa.RecordBatch] = []
+        now = None
+        for b in batches:
+            task = b.column("task").to_numpy(False)
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if task[i] != now and held:
+                    yield meet(pa.Table.from_batches(held))
+                    held = []
+                now = task[i]
+                held.append(b.slice(i, j - i))
+        if held:
+            yield meet(pa.Table.from_batches(held))
+
+    dealt = both.repartition(partitions(spark), "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def join_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     with_checkpoints(spark)
-    classes = Classes(percent)
     rows = sets(docs, n, percent, id_col, text_col).checkpoint()
     keyed = rows.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node", F.col("size").cast("int").alias("size"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("key").alias("k"), "low").checkpoint()
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("key").alias("k"), "held").checkpoint()
     release(spark)
-    hits = keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size", "low").checkpoint()
+    hits = keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size", "held").distinct().checkpoint()
     release(spark)
 
-    stars = hits.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    # every key's most central node: the one whose keys are held by most
+    central = hits.groupBy("node").agg(F.sum("held").alias("held")).select(F.col("node").alias("cn"), F.col("held").alias("central"))
+    first = hits.join(central, F.col("node") == F.col("cn")).groupBy("key").agg(F.max(F.struct("central", "node"))["node"].alias("hub")).select(F.col("key").alias("k"), "hub").checkpoint()
+    stars = hits.join(first, F.col("key") == F.col("k")).where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct().checkpoint()
     reps = rows.where("size > 0").groupBy("node").agg(F.min("id").alias("rep"))
     wanted = hits.select("node").distinct().join(reps, "node")
     parts = segments(docs, wanted, n, id_col, text_col).checkpoint()
     release(spark)
     links = counted_links(stars, parts, percent).checkpoint()
     release(spark)
-    found = components(links)
-
-    # pairs that share a key but no component yet; `fragments - difference - SLACK` keys at least must agree
-    side = hits.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    mixed = side.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select(F.col("key").alias("k"))
-    side = side.join(mixed, F.col("key") == F.col("k"), "left_semi").checkpoint()
-    other = side.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
-    pairs = side.join(other, (F.col("key") == F.col("k2")) & (F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")))
-    close = 100 * F.least("size", "sb") >= percent * F.greatest("size", "sb")
-    pairs = pairs.where(close).groupBy(F.col("node").alias("a"), "b", "size", "sb").agg(F.count("*").alias("agree"))
-    edges = [classes.first(c) for c in range(1, 64)]
-    larger = F.greatest("size", "sb")
-    # the fragments of the class that both take part in, which is the larger one's
-    f = F.lit(classes.fragments(0))
-    for c in range(1, 64):
-        if edges[c - 1] > 2**31 - 1:
-            break
-        f = F.when(larger >= edges[c - 1], classes.fragments(c)).otherwise(f)
-    differ = F.floor((100 - percent) * (F.col("size") + F.col("sb")) / (100 + percent))
-    pairs = pairs.where(F.col("agree") >= F.greatest(F.lit(1), f - differ - SLACK)).select("a", "b")
-    pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    found = components(links).checkpoint()
+
+    of = lambda df, key, out: df.join(found.withColumnsRenamed({"node": f"__{out}", "component": out}), F.col(key) == F.col(f"__{out}"), "left").withColumn(out, F.coalesce(out, key)).drop(f"__{out}")
+    sketches = rows.where(F.size("keys") > 0).select(F.col("node").alias("sn"), "sketch").dropDuplicates(["sn"])
+    nodes = of(hits.select("node").distinct(), "node", "component")
+    side = of(hits.select("key", "node", "size").join(first, F.col("key") == F.col("k")), "hub", "main")
+    side = side.join(nodes.withColumnRenamed("node", "nn"), F.col("node") == F.col("nn"))
+    mixed = side.groupBy("key").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("m")).where("m = 1").select(F.col("key").alias("mk"))
+    side = side.join(mixed, F.col("key") == F.col("mk"), "left_semi").join(sketches, F.col("node") == F.col("sn"))
+    side = side.select("key", "node", "size", "sketch", "component", "main").checkpoint()
+    release(spark)
+    pairs = open_pairs(side, percent).join(stars, ["a", "b"], "left_anti")
     more = counted_links(pairs, parts, percent).checkpoint()
     if more.take(1):
         found = components(links.unionByName(more))
