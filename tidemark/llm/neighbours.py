@@ -137,12 +137,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                     x = root[x]
                 return x
 
-            fl, fr = sl.astype(np.float32), sr.astype(np.float32)
-            room = space.budgets[i] + 1e-5  # single precision here; the exact tests follow
+            # one product a pair: s.t - |s|^2 / 2 - |t|^2 / 2 + budget / 2, at least 0 within the budget;
+            # in single precision with room, the exact tests follow
+            room = (space.budgets[i] + 1e-5) / 2
+            ones = lambda v: np.ones((len(v), 1))
+            fl = np.hstack([sl, ones(sl), (room - half_l / 2)[:, None]]).astype(np.float32)
+            fr = np.hstack([sr, -half_r[:, None] / 2, ones(sr)]).astype(np.float32)
             for a in range(0, len(il), TILE):
                 for b in range(0, len(ir), 4 * TILE):
-                    d = half_l[a : a + TILE, None] + half_r[None, b : b + 4 * TILE] - 2 * (fl[a : a + TILE] @ fr[b : b + 4 * TILE].T)
-                    p, q = np.nonzero(d <= room)
+                    p, q = np.divmod(np.flatnonzero(fl[a : a + TILE] @ fr[b : b + 4 * TILE].T >= 0), len(fr[b : b + 4 * TILE]))
                     p, q = p + a, q + b
                     ok = il[p] != ir[q]
                     p, q = p[ok], q[ok]
