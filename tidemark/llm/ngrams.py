@@ -162,7 +162,7 @@ def segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["node", "part", "size", "grams"])
 
-    return rows.mapInArrow(run, "node long, part int, size long, grams array<long>").dropDuplicates(["node", "part"])
+    return rows.mapInArrow(run, "node long, part int, size long, grams array<long>")
 
 
 def counted_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -170,11 +170,47 @@ def counted_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame
     right = parts.select(F.col("node").alias("b"), "part", F.col("size").alias("size_b"), F.col("grams").alias("grams_b"))
     left = parts.select(F.col("node").alias("la"), F.col("part").alias("lp"), F.col("size").alias("size_a"), F.col("grams").alias("grams_a"))
     both = pairs.join(right, "b").join(left, (F.col("a") == F.col("la")) & (F.col("part") == F.col("lp")))
-    each = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("n"))
+    each = both.select("a", "b", "part", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("n"))
+    # rows that repeat an id and a text bring a part more than once
+    each = each.groupBy("a", "b", "part", "size_a", "size_b").agg(F.max("n").alias("n"))
     total = each.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
     return total.where(100 * F.col("n") >= percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b")
 
 
+def folded(length: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Sketches of these lengths, all folded to the shortest one's."""
+    short = int(length.min())
+    starts = np.cumsum(length) - length
+    out = np.zeros((len(length), short), np.uint64)
+    for k in range(int(length.max()) // short):
+        has = length > k * short
+        out[has] ^= flat[starts[has][:, None] + np.arange(k * short, (k + 1) * short)]
+    return out
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be links by their sizes and sketches; nodes: (node, size, sketch)."""
+    side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "sketch")))
+    both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+    both = both.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+
+    def run(batches):
+        for b in batches:
+            a_, b_ = (b.column(c) for c in ("sketch_a", "sketch_b"))
+            keep = np.zeros(len(b), bool)
+            la, lb = np.diff(a_.offsets.to_numpy()), np.diff(b_.offsets.to_numpy())
+            fa, fb = a_.flatten().to_numpy(False).view(np.uint64), b_.flatten().to_numpy(False).view(np.uint64)
+            sa, sb, size = np.cumsum(la) - la, np.cumsum(lb) - lb, b.column("size_a").to_numpy(False) + b.column("size_b").to_numpy(False)
+            for i in range(len(b)):
+                x, y = fa[sa[i] : sa[i] + la[i]], fb[sb[i] : sb[i] + lb[i]]
+                short = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
+                keep[i] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= (100 - percent) * size[i] // (100 + percent)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def open_pairs(side: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of nodes of one key but different components that may be links by their sizes
     and sketches; side: (key, node, size, sketch, component, main), main one component of the key.
@@ -195,18 +231,12 @@ def open_pairs(side: DataFrame, percent: int) -> DataFrame:
         one = t.column("side").to_numpy()
         node, size, comp = (t.column(c).to_numpy() for c in ("node", "size", "component"))
         sk = t.column("sketch").combine_chunks()
-        length, flat = np.diff(sk.offsets.to_numpy()), sk.flatten().to_numpy().view(np.uint64)
-        short = int(length.min())
-        starts = np.cumsum(length) - length
-        folded = np.zeros((len(length), short), np.uint64)
-        for k in range(int(length.max()) // short):
-            has = length > k * short
-            folded[has] ^= flat[starts[has][:, None] + np.arange(k * short, (k + 1) * short)]
+        sketch = folded(np.diff(sk.offsets.to_numpy()), sk.flatten().to_numpy().view(np.uint64))
         l, r = np.flatnonzero(one == 0), np.flatnonzero(one == 1)
         out = [np.empty(0, np.int64), np.empty(0, np.int64)]
         for i in l:
             ok = r[(comp[r] != comp[i]) & (100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i]))]
-            differ = np.bitwise_count(folded[ok] ^ folded[i]).sum(1, dtype=np.int64)
+            differ = np.bitwise_count(sketch[ok] ^ sketch[i]).sum(1, dtype=np.int64)
             ok = ok[differ <= (100 - percent) * (size[ok] + size[i]) // (100 + percent)]
             out[0], out[1] = np.append(out[0], np.minimum(node[ok], node[i])), np.append(out[1], np.maximum(node[ok], node[i]))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
@@ -249,27 +279,37 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     central = hits.groupBy("node").agg(F.sum("held").alias("held")).select(F.col("node").alias("cn"), F.col("held").alias("central"))
     first = hits.join(central, F.col("node") == F.col("cn")).groupBy("key").agg(F.max(F.struct("central", "node"))["node"].alias("hub")).select(F.col("key").alias("k"), "hub").checkpoint()
     stars = hits.join(first, F.col("key") == F.col("k")).where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct().checkpoint()
-    reps = rows.where("size > 0").groupBy("node").agg(F.min("id").alias("rep"))
-    wanted = hits.select("node").distinct().join(reps, "node")
-    parts = segments(docs, wanted, n, id_col, text_col).checkpoint()
-    release(spark)
-    links = counted_links(stars, parts, percent).checkpoint()
+    # what the hits' nodes have; all of equal sets' rows agree
+    held = rows.where(F.size("keys") > 0).join(hits.select(F.col("node").alias("hn")).distinct(), F.col("node") == F.col("hn"), "left_semi")
+    nodes = held.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")).checkpoint()
     release(spark)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs; reads the texts of one document for each of their nodes."""
+        ends = pairs.select(F.col("a").alias("en")).union(pairs.select(F.col("b").alias("en"))).distinct()
+        reps = rows.where("size > 0").join(ends, F.col("node") == F.col("en"), "left_semi").groupBy("node").agg(F.min("id").alias("rep"))
+        parts = segments(docs, reps, n, id_col, text_col).checkpoint()
+        release(spark)
+        links = counted_links(pairs, parts, percent).checkpoint()
+        del parts
+        release(spark)
+        return links
+
+    links = verified(plausible(stars, nodes, percent).checkpoint())
     found = components(links).checkpoint()
 
     of = lambda df, key, out: df.join(found.withColumnsRenamed({"node": f"__{out}", "component": out}), F.col(key) == F.col(f"__{out}"), "left").withColumn(out, F.coalesce(out, key)).drop(f"__{out}")
-    sketches = rows.where(F.size("keys") > 0).select(F.col("node").alias("sn"), "sketch").dropDuplicates(["sn"])
-    nodes = of(hits.select("node").distinct(), "node", "component")
+    comp = of(nodes.select("node", "sketch"), "node", "component").withColumnRenamed("node", "nn")
     side = of(hits.select("key", "node", "size").join(first, F.col("key") == F.col("k")), "hub", "main")
-    side = side.join(nodes.withColumnRenamed("node", "nn"), F.col("node") == F.col("nn"))
+    side = side.join(comp, F.col("node") == F.col("nn"))
     mixed = side.groupBy("key").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("m")).where("m = 1").select(F.col("key").alias("mk"))
-    side = side.join(mixed, F.col("key") == F.col("mk"), "left_semi").join(sketches, F.col("node") == F.col("sn"))
+    side = side.join(mixed, F.col("key") == F.col("mk"), "left_semi")
     side = side.select("key", "node", "size", "sketch", "component", "main").checkpoint()
     release(spark)
-    pairs = open_pairs(side, percent).join(stars, ["a", "b"], "left_anti")
-    more = counted_links(pairs, parts, percent).checkpoint()
-    if more.take(1):
-        found = components(links.unionByName(more))
+    pairs = open_pairs(side, percent).join(stars, ["a", "b"], "left_anti").checkpoint()
+    release(spark)
+    if pairs.take(1):
+        found = components(links.unionByName(verified(pairs)))
 
     least = rows.where("size > 0").groupBy("node").agg(F.min("id").alias("m"))
     joined = least.join(found, "node", "left").select("node", "m", F.coalesce("component", "node").alias("component"))
