@@ -92,11 +92,11 @@ class Classes:
         return [c, c + 1] if 100 * size >= self.percent * self.first(c + 1) else [c]
 
     def sketch(self, grams: np.ndarray) -> np.ndarray:
-        """Parities of the n-grams by bit, four bits a difference allowed; half of the length folds
+        """Parities of the n-grams by bit, three bits or more a difference allowed; half of the length folds
         onto the other half to the sketch of that length."""
         c = self.of(len(grams))
         top = self.first(c + 1) - 1
-        bits = 128 << int(np.ceil(np.log2(max(1.0, 4 * self.difference(top, top) / 128))))
+        bits = 64 << int(np.ceil(np.log2(max(1.0, 3 * self.difference(top, top) / 64))))
         odd = np.bincount((mix64(grams ^ _C) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -223,16 +223,20 @@ def open_pairs(side: DataFrame, percent: int) -> DataFrame:
     chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keep = ["key", "node", "size", "sketch", "component"]
-    left = cut.where(outside).select(*keep, F.lit(0).alias("side"), chunk("l").alias("x"), every("r").alias("y"))
-    right = cut.select(*keep, F.lit(1).alias("side"), every("l").alias("x"), chunk("r").alias("y"))
-    both = left.unionByName(right).select(F.xxhash64("key", "x", "y").alias("task"), "side", "node", "size", "sketch", "component")
+    # a key of one chunk sends each row once, for both sides (2) or for the right one only
+    one = (F.col("l") == 1) & (F.col("r") == 1)
+    zero = F.lit(0).cast("long")
+    whole = cut.where(one).select(*keep, F.when(outside, 2).otherwise(1).alias("side"), zero.alias("x"), zero.alias("y"))
+    left = cut.where(~one & outside).select(*keep, F.lit(0).alias("side"), chunk("l").alias("x"), every("r").alias("y"))
+    right = cut.where(~one).select(*keep, F.lit(1).alias("side"), every("l").alias("x"), chunk("r").alias("y"))
+    both = whole.unionByName(left).unionByName(right).select(F.xxhash64("key", "x", "y").alias("task"), "side", "node", "size", "sketch", "component")
 
     def meet(t: pa.Table) -> pa.RecordBatch:
         one = t.column("side").to_numpy()
         node, size, comp = (t.column(c).to_numpy() for c in ("node", "size", "component"))
         sk = t.column("sketch").combine_chunks()
         sketch = folded(np.diff(sk.offsets.to_numpy()), sk.flatten().to_numpy().view(np.uint64))
-        l, r = np.flatnonzero(one == 0), np.flatnonzero(one == 1)
+        l, r = np.flatnonzero(one != 1), np.flatnonzero(one != 0)
         out = [np.empty(0, np.int64), np.empty(0, np.int64)]
         for i in l:
             ok = r[(comp[r] != comp[i]) & (100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i]))]
