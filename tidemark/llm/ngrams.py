@@ -92,11 +92,12 @@ class Classes:
         return [c, c + 1] if 100 * size >= self.percent * self.first(c + 1) else [c]
 
     def sketch(self, grams: np.ndarray) -> np.ndarray:
-        """Parities of the n-grams by bit, three bits or more a difference allowed; half of the length folds
-        onto the other half to the sketch of that length."""
+        """Parities of the n-grams by bit; half of the length folds onto the other half to the sketch of
+        that length. Counts of few bits scatter more, so few differences get 16 bits each, many of them three."""
         c = self.of(len(grams))
         top = self.first(c + 1) - 1
-        bits = 64 << int(np.ceil(np.log2(max(1.0, 3 * self.difference(top, top) / 64))))
+        d = self.difference(top, top)
+        bits = 64 << int(np.ceil(np.log2(max(64, 3 * d, min(16 * d, 256)) / 64)))
         odd = np.bincount((mix64(grams ^ _C) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
