@@ -15,11 +15,11 @@ counted in each apart and summed per pair, and the pair is a link if the sum rea
 
 Only the links' components are asked for, so equal sets count as one node, and each key first ties
 its nodes to its most central one, the one whose keys are held by most; of near copies that is as a
-rule the text that the others were made from. Of the pairs that share a key but no component yet,
-those are counted whose odd sketches (a bit for the parity of the n-grams that fall on it) differ in
-no more bits than the two sets may differ in n-grams, which sketches of linked sets never do. So no
-link between components is lost, pairs that are not near each other are passed over without being
-written, and a link inside a component isn't needed. A key's nodes meet in chunks of bounded size.
+rule the text that the others were made from. Of the pairs that share a key but no component yet (and
+of those that meet at one hub by different keys), those are counted whose odd sketches (a bit for the
+parity of the n-grams that fall on it) differ in no more bits than the two sets may differ in
+n-grams, which sketches of linked sets never do. So no link between components is lost, pairs that
+are not near each other are passed over without being written, and a link inside a component isn't needed. A hub's nodes meet in chunks of bounded size.
 
 Cases: null texts and texts without words have the empty set, which links with nothing; a text of
 fewer than n words has its whole sequence as its one n-gram; a null id takes part, and a component
@@ -42,7 +42,7 @@ from .links import components
 PARTS = 8
 SLACK = 2  #: empty fragments that a pair may have in common without sending keys for them
 STEP = 1.5
-LEFT, RIGHT = 2_048, 8_192  #: most nodes of a key that meet in one go
+LEFT, RIGHT = 2_048, 8_192  #: most nodes of a hub that meet in one go
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -214,7 +214,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def open_pairs(side: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of nodes of one key but different components that may be links by their sizes
-    and sketches; side: (key, node, size, sketch, component, main), main one component of the key.
+    and sketches; side: (key, node, size, sketch, component, main), main one component of the key;
+    any value that candidates have in common does for a key.
     One of the two is outside `main`, so those meet all."""
     spark = side.sparkSession
     outside = F.col("component") != F.col("main")
@@ -304,12 +305,15 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     found = components(links).checkpoint()
 
     of = lambda df, key, out: df.join(found.withColumnsRenamed({"node": f"__{out}", "component": out}), F.col(key) == F.col(f"__{out}"), "left").withColumn(out, F.coalesce(out, key)).drop(f"__{out}")
-    comp = of(nodes.select("node", "sketch"), "node", "component").withColumnRenamed("node", "nn")
-    side = of(hits.select("key", "node", "size").join(first, F.col("key") == F.col("k")), "hub", "main")
+    comp = of(nodes.select("node"), "node", "component").withColumnRenamed("node", "nn")
+    side = of(hits.select("key", "node").join(first, F.col("key") == F.col("k")), "hub", "main")
     side = side.join(comp, F.col("node") == F.col("nn"))
     mixed = side.groupBy("key").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("m")).where("m = 1").select(F.col("key").alias("mk"))
     side = side.join(mixed, F.col("key") == F.col("mk"), "left_semi")
-    side = side.select("key", "node", "size", "sketch", "component", "main").checkpoint()
+    # the keys of a hub go as one: its near copies share most of them
+    side = side.select(F.col("hub").alias("key"), F.col("node").alias("hn"), "component", "main").distinct().checkpoint()
+    release(spark)
+    side = side.join(nodes, F.col("hn") == F.col("node")).select("key", "node", "size", "sketch", "component", "main").checkpoint()
     release(spark)
     pairs = open_pairs(side, percent).join(stars, ["a", "b"], "left_anti").checkpoint()
     release(spark)
