@@ -15,11 +15,11 @@ counted in each apart and summed per pair, and the pair is a link if the sum rea
 
 Only the links' components are asked for, so equal sets count as one node, and each key first ties
 its nodes to its most central one, the one whose keys are held by most; of near copies that is as a
-rule the text that the others were made from. Of the pairs that share a key but no component yet (and
-of those that meet at one hub by different keys), those are counted whose odd sketches (a bit for the
-parity of the n-grams that fall on it) differ in no more bits than the two sets may differ in
-n-grams, which sketches of linked sets never do. So no link between components is lost, pairs that
-are not near each other are passed over without being written, and a link inside a component isn't needed. A hub's nodes meet in chunks of bounded size.
+rule the text that the others were made from. Of the pairs that share a key but no component yet,
+those are counted whose odd sketches (a bit for the parity of the n-grams that fall on it) differ in
+no more bits than the two sets may differ in n-grams, which sketches of linked sets never do. So no
+link between components is lost, pairs that are not near each other are passed over without being
+written, and a link inside a component isn't needed. A hub's nodes meet in chunks of bounded size.
 
 Cases: null texts and texts without words have the empty set, which links with nothing; a text of
 fewer than n words has its whole sequence as its one n-gram; a null id takes part, and a component
@@ -214,33 +214,43 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def open_pairs(side: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of nodes of one key but different components that may be links by their sizes
-    and sketches; side: (key, node, size, sketch, component, main), main one component of the key;
-    any value that candidates have in common does for a key.
+    and sketches; side: (hub, node, size, sketch, component, main, keys), main the hub's component and
+    keys those of the node whose hub it is.
     One of the two is outside `main`, so those meet all."""
     spark = side.sparkSession
     outside = F.col("component") != F.col("main")
-    per = side.groupBy("key").agg(F.count(F.when(outside, 1)).alias("l"), F.count("*").alias("r")).where("l > 0")
-    per = per.select(F.col("key").alias("k"), *(F.ceil(F.col(n) / LEFT if n == "l" else F.col(n) / RIGHT).alias(n) for n in "lr"))
-    cut = side.join(per, F.col("key") == F.col("k"))
+    per = side.groupBy("hub").agg(F.count(F.when(outside, 1)).alias("l"), F.count("*").alias("r")).where("l > 0")
+    per = per.select(F.col("hub").alias("h"), *(F.ceil(F.col(n) / LEFT if n == "l" else F.col(n) / RIGHT).alias(n) for n in "lr"))
+    cut = side.join(per, F.col("hub") == F.col("h"))
     chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keep = ["key", "node", "size", "sketch", "component"]
-    # a key of one chunk sends each row once, for both sides (2) or for the right one only
+    keep = ["hub", "node", "size", "sketch", "component", "keys"]
+    # a hub of one chunk sends each row once, for both sides (2) or for the right one only
     one = (F.col("l") == 1) & (F.col("r") == 1)
     zero = F.lit(0).cast("long")
     whole = cut.where(one).select(*keep, F.when(outside, 2).otherwise(1).alias("side"), zero.alias("x"), zero.alias("y"))
     left = cut.where(~one & outside).select(*keep, F.lit(0).alias("side"), chunk("l").alias("x"), every("r").alias("y"))
     right = cut.where(~one).select(*keep, F.lit(1).alias("side"), every("l").alias("x"), chunk("r").alias("y"))
-    both = whole.unionByName(left).unionByName(right).select(F.xxhash64("key", "x", "y").alias("task"), "side", "node", "size", "sketch", "component")
+    both = whole.unionByName(left).unionByName(right).select(F.xxhash64("hub", "x", "y").alias("task"), "side", "node", "size", "sketch", "component", "keys")
 
     def meet(t: pa.Table) -> pa.RecordBatch:
         one = t.column("side").to_numpy()
         node, size, comp = (t.column(c).to_numpy() for c in ("node", "size", "component"))
         sk = t.column("sketch").combine_chunks()
         sketch = folded(np.diff(sk.offsets.to_numpy()), sk.flatten().to_numpy().view(np.uint64))
-        l, r = np.flatnonzero(one != 1), np.flatnonzero(one != 0)
+        held = t.column("keys").combine_chunks()
+        length, keys = np.diff(held.offsets.to_numpy()), held.flatten().to_numpy()
+        ends = np.cumsum(length)
+        row = np.repeat(np.arange(len(node)), length)
+        right = np.flatnonzero(one[row] != 0)
+        right = right[np.argsort(keys[right], kind="stable")]
+        by, row = keys[right], row[right]  # the right side's rows by key
         out = [np.empty(0, np.int64), np.empty(0, np.int64)]
-        for i in l:
+        for i in np.flatnonzero(one != 1):
+            own, shares = keys[ends[i] - length[i] : ends[i]], np.zeros(len(node), bool)
+            for x, y in zip(np.searchsorted(by, own), np.searchsorted(by, own, "right"), strict=True):
+                shares[row[x:y]] = True
+            r = np.flatnonzero(shares)
             ok = r[(comp[r] != comp[i]) & (100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i]))]
             differ = np.bitwise_count(sketch[ok] ^ sketch[i]).sum(1, dtype=np.int64)
             ok = ok[differ <= (100 - percent) * (size[ok] + size[i]) // (100 + percent)]
@@ -310,10 +320,10 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     side = side.join(comp, F.col("node") == F.col("nn"))
     mixed = side.groupBy("key").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("m")).where("m = 1").select(F.col("key").alias("mk"))
     side = side.join(mixed, F.col("key") == F.col("mk"), "left_semi")
-    # the keys of a hub go as one: its near copies share most of them
-    side = side.select(F.col("hub").alias("key"), F.col("node").alias("hn"), "component", "main").distinct().checkpoint()
+    # the keys of a hub go as one, with one sketch: its near copies share most of them
+    side = side.groupBy("hub", F.col("node").alias("hn"), "component", "main").agg(F.collect_set("key").alias("keys")).checkpoint()
     release(spark)
-    side = side.join(nodes, F.col("hn") == F.col("node")).select("key", "node", "size", "sketch", "component", "main").checkpoint()
+    side = side.join(nodes, F.col("hn") == F.col("node")).select("hub", "node", "size", "sketch", "component", "main", "keys").checkpoint()
     release(spark)
     pairs = open_pairs(side, percent).join(stars, ["a", "b"], "left_anti").checkpoint()
     release(spark)
