@@ -40,6 +40,7 @@ from .common import mix64, partitions, release, small_batches, with_checkpoints
 from .links import components
 
 PARTS = 8
+TURN = 2  #: fragments counted at a time, which bounds the shuffle files that exist at once
 SLACK = 2  #: empty fragments that a pair may have in common without sending keys for them
 STEP = 1.5
 LEFT, RIGHT = 2_048, 8_192  #: most nodes of a key that meet in one go
@@ -166,15 +167,25 @@ def segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
     return rows.mapInArrow(run, "node long, part int, size long, grams array<long>")
 
 
-def counted_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlaps, counted in every part and summed, reach the threshold."""
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, size_a, size_b, n): for every pair and part, the n-grams that the two have in common."""
     right = parts.select(F.col("node").alias("b"), "part", F.col("size").alias("size_b"), F.col("grams").alias("grams_b"))
     left = parts.select(F.col("node").alias("la"), F.col("part").alias("lp"), F.col("size").alias("size_a"), F.col("grams").alias("grams_a"))
     both = pairs.join(right, "b").join(left, (F.col("a") == F.col("la")) & (F.col("part") == F.col("lp")))
     each = both.select("a", "b", "part", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("n"))
     # rows that repeat an id and a text bring a part more than once
-    each = each.groupBy("a", "b", "part", "size_a", "size_b").agg(F.max("n").alias("n"))
-    total = each.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+    return each.groupBy("a", "b", "part", "size_a", "size_b").agg(F.max("n").alias("n")).drop("part")
+
+
+def counted_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlaps, counted in every part and summed, reach the threshold; `TURN`
+    parts at a time."""
+    spark, counted = pairs.sparkSession, None
+    for i in range(0, PARTS, TURN):
+        some = overlaps(pairs, parts.where(F.col("part").between(i, i + TURN - 1))).checkpoint()
+        counted = some if counted is None else counted.unionByName(some)
+        release(spark)
+    total = counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
     return total.where(100 * F.col("n") >= percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b")
 
 
