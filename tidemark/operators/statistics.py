@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import uniform
+from .interactions import checkpointed
+
+CHUNK = 65_536  #: pairs that a task of a bootstrap holds
+BLOCK = 500  #: draws that it makes
 
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -24,13 +29,34 @@ def effect(differences: DataFrame, by: list[str]) -> DataFrame:
 
 
 def bootstrap(differences: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
-    """(low, high): 95 % percentile interval of the mean over `draws` resamples. For pairs of runs, of
-    which there are few."""
-    d = differences.withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
-    n = F.count("*").over(Window.partitionBy())
-    slots = d.select(F.col("i").alias("slot"), n.alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    picks = slots.withColumn("i", F.floor(uniform(F.concat_ws(":", "draw", "slot"), seed) * F.col("n")).cast("int"))
-    means = picks.join(F.broadcast(d.select("i", "d")), "i").groupBy("draw").agg(F.avg("d").alias("m"))
+    """(low, high): 95 % percentile interval of the mean over `draws` resamples of all pairs. Pairs are
+    numbered by key over range partitions and cut into chunks; each draw deals its n picks out to the
+    chunks by a multinomial of its own seed, so that no task holds all pairs."""
+    spark = differences.sparkSession
+    d = differences.select(key, F.col("d").cast("double").alias("d"))
+    d = checkpointed(d.repartitionByRange(key, "d").withColumn("__p", F.spark_partition_id()))
+    sizes = d.groupBy("__p").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.withColumn("__b", F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__b", F.lit(0)).alias("__b"))
+    n = d.count()
+    if not n:
+        return spark.createDataFrame([(None, None)], "low double, high double")
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(key, "d")) - 1
+    i = d.withColumn("__o", place).join(F.broadcast(before), "__p").select((F.col("__o") + F.col("__b")).alias("i"), "d")
+    held = [min(CHUNK, n - a) for a in range(0, n, CHUNK)]
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BLOCK)))
+    dealt = i.select(F.floor(F.col("i") / CHUNK).cast("int").alias("chunk"), "i", "d", blocks.alias("block"))
+
+    def resample(k: tuple, t: pa.Table) -> pa.Table:
+        chunk, block = (x.as_py() for x in k)
+        x = t.column("d").to_numpy()[np.argsort(t.column("i").to_numpy())]
+        mine = range(block * BLOCK, min(draws, (block + 1) * BLOCK))
+        sums = []
+        for draw in mine:
+            count = np.random.default_rng([seed, draw]).multinomial(n, np.array(held) / n)[chunk]
+            sums.append(float(x[np.random.default_rng([seed, draw, chunk + 1]).integers(0, len(x), count)].sum()))
+        return pa.table({"draw": pa.array(mine, pa.int32()), "s": pa.array(sums, pa.float64())})
+
+    means = dealt.groupBy("chunk", "block").applyInArrow(resample, "draw int, s double").groupBy("draw").agg((F.sum("s") / n).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 

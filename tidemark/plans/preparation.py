@@ -74,10 +74,10 @@ def variant_summaries(spark, sf_dir):
 
 @query()
 def paired_bootstrap(spark, sf_dir):
-    """Rows-only: 95 % interval of the difference between two order priorities over 500 resamples."""
-    r = runs(spark, sf_dir).where("seed % 15 = 1")
+    """Rows-only: 95 % interval of the difference between two order priorities over 10,000 resamples."""
+    r = runs(spark, sf_dir)
     a, b = (r.where(F.col("variant").startswith(x)).select("seed", F.col("value").alias(v)) for x, v in (("1", "a"), ("5", "b")))
-    return statistics.bootstrap(a.join(b, "seed").select("seed", (F.col("a") - F.col("b")).alias("d")), "seed", 500, 11)
+    return statistics.bootstrap(a.join(b, "seed").select("seed", (F.col("a") - F.col("b")).alias("d")), "seed", 10_000, 11)
 
 
 @query("""WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value FROM events),
