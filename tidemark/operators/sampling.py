@@ -47,7 +47,8 @@ def capped(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 def negative_tails(triples: DataFrame, seed: int, tries: int = 4) -> DataFrame:
     """(h, r, t, negative): a tail of the same relation that is no true tail of (h, r), by hash among
-    `tries` draws from the relation's numbered tails; triples whose draws are all true are left out."""
+    `tries` draws from the relation's numbered tails, or where all are true tails, among those that
+    (h, r) lacks; only triples of an (h, r) that lacks none are left out."""
     tails = triples.select("r", "t").distinct()
     per = Window.partitionBy("r").orderBy("t")
     tails = tails.withColumn("i", F.row_number().over(per) - 1).withColumnsRenamed({"t": "negative"})
@@ -58,4 +59,15 @@ def negative_tails(triples: DataFrame, seed: int, tries: int = 4) -> DataFrame:
     x = x.withColumn("i", F.floor(uniform(key, seed) * F.col("n")).cast("int")).join(tails, ["r", "i"])
     true = triples.withColumnRenamed("t", "negative")
     x = x.join(true, ["h", "r", "negative"], "left_anti")
-    return x.groupBy("h", "r", "t").agg(F.min(F.struct("try", "negative")).alias("x")).select("h", "r", "t", F.col("x.negative").alias("negative"))
+    drawn = x.groupBy("h", "r", "t").agg(F.min(F.struct("try", "negative")).alias("x")).select("h", "r", "t", F.col("x.negative").alias("negative"))
+
+    # the tail of rank k among those that (h, r) lacks has the number k plus the true ones before it
+    own = Window.partitionBy("h", "r")
+    true = triples.distinct().join(tails.withColumnRenamed("negative", "t"), ["r", "t"])
+    true = true.withColumn("m", F.count("*").over(own)).withColumn("at", F.col("i") - F.row_number().over(own.orderBy("i")) + 1)
+    left = true.join(drawn, ["h", "r", "t"], "left_anti").join(F.broadcast(size), "r").where("m < n").withColumn("try", F.lit(tries))
+    left = left.select("h", "r", "t", F.floor(uniform(key, seed) * (F.col("n") - F.col("m"))).cast("int").alias("at"), F.lit(1).alias("side"))
+    both = true.join(left.select("h", "r").distinct(), ["h", "r"], "left_semi").select("h", "r", "t", "at", F.lit(0).alias("side")).unionByName(left)
+    before = F.sum(1 - F.col("side")).over(own.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = both.withColumn("i", (F.col("at") + before).cast("int")).where("side = 1").join(tails, ["r", "i"])
+    return drawn.unionByName(chosen.select("h", "r", "t", "negative"))
