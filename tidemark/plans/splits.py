@@ -99,13 +99,13 @@ def warm_repair(spark, sf_dir):
   SELECT h.* FROM held h WHERE user_id IN (SELECT user_id FROM two WHERE split = 'train' AND item_id % 3 = 0)""")
 def held_out_of_known_users(spark, sf_dir):
     rows = two_out(spark, sf_dir)
-    known = rows.where((F.col("split") == "train") & (F.col("item_id") % 3 == 0)).select("user_id")
+    known = rows.where("split = 'train'").select("user_id")
     return rows.where("split <> 'train'").join(known, "user_id", "left_semi")
 
 
 @query(f"WITH {LATEST} SELECT p_partkey AS item_id FROM part WHERE p_partkey NOT IN (SELECT item_id FROM latest WHERE user_id % 20 = 0)")
 def zero_train_items(spark, sf_dir):
-    train = latest(spark, sf_dir).where("user_id % 20 = 0")
+    train = two_out(spark, sf_dir).where("split = 'train'")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")).join(train, "item_id", "left_anti")
 
 
