@@ -125,7 +125,7 @@ def flows(spark, sf_dir):
 
 
 def imports(spark, sf_dir):
-    return trade.reported_imports(flows(spark, sf_dir).where("market % 5 <> 4"), F.col("partner") < 6)
+    return trade.reported_imports(flows(spark, sf_dir), F.col("partner") < 6)
 
 
 @query(f"WITH {IMPORTS} SELECT market, origin, round(value, 2) AS value FROM imp")
