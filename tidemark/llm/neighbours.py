@@ -71,7 +71,7 @@ class Space:
         for j in range(part.shape[1]):
             own = own * side + to(part[:, j])
             low, high = to(part[:, j] - r - 1e-6), to(part[:, j] + r + 1e-6)
-            reach = [np.where(k < 0, -1, k * side + low) for k in reach] + [np.where((k < 0) | (high == low), -1, k * side + high) for k in reach]
+            reach = [np.where((k < 0) | (low + n > high), -1, k * side + low + n) for k in reach for n in range(int((high - low).max(initial=0)) + 1)]
         return own, reach
 
 
