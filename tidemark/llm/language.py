@@ -28,7 +28,6 @@ from .common import small_batches
 
 TOP = 300
 MAX_TRAIN = 3_000
-MAX_LANGUAGES = 200
 SALTS = 8
 CACHE_WORDS = 150_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -104,7 +103,7 @@ def learn(
         docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")
     ).where("lang is not null and text is not null")
     rows = rows if train is None else rows.where(train)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return {}
     share = docs.sparkSession.createDataFrame(
@@ -126,13 +125,15 @@ def learn(
 
     totals = picked.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
     totals = totals.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the first TOP of each language and salt, at most MAX_LANGUAGES * SALTS * TOP rows; the driver merges the salts
+    # the first TOP of each language and salt, then of each language: the driver gets TOP rows a language
     first = Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "gram")
     top = totals.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS))).withColumn("r", F.row_number().over(first))
+    whole = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = top.where(F.col("r") <= TOP).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= TOP)
     found: dict[str, list[tuple[int, int]]] = {}
-    for r in top.where(F.col("r") <= TOP).select("lang", "gram", "n").collect():
+    for r in top.select("lang", "gram", "n").collect():
         found.setdefault(r["lang"], []).append((-r["n"], r["gram"]))
-    return {lang: [g for _, g in sorted(x)[:TOP]] for lang, x in found.items()}
+    return {lang: [g for _, g in sorted(x)] for lang, x in found.items()}
 
 
 def predict_documents(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
