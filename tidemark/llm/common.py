@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,25 +17,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts takes in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def with_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is set."""
+    """Use the cluster's shared checkpoint folder. Where none is set, a local session gets a folder of its
+    own; a cluster gets an error, for a folder of one machine would lose what others wrote."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
-
-
-def release(spark: SparkSession) -> None:
-    """Have executors delete the shuffle files of steps whose results are written: Spark does so when
-    the driver's garbage is collected, which a driver that only plans hardly ever needs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+class Scratch:
+    """Intermediate tables as Parquet in the shared checkpoint folder, each deleted by name once no
+    later step reads it. The shuffle files of a step go when its table is written."""
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, name: str):
+        with_checkpoints(spark)
+        self.spark, self.root = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        before = self.spark.conf.get(self.CLEAN)
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(self.CLEAN, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete these tables, or all of them without a name."""
+        for path in [f"{self.root}/{n}" for n in names] or [self.root]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:

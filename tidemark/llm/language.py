@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 TOP = 300
 MAX_TRAIN = 3_000
@@ -98,7 +97,6 @@ def learn(
     max_train: int = MAX_TRAIN,
 ) -> Profiles:
     """Profiles of the rows for whose id (`__id`) the condition `train` holds."""
-    small_batches(docs.sparkSession)
     rows = docs.select(
         docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")
     ).where("lang is not null and text is not null")
@@ -138,7 +136,6 @@ def learn(
 
 def predict_documents(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score for every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         judge = Judge(profiles)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_sites, small_batches, with_checkpoints
+from .common import join_sites, with_checkpoints
 
 BLOCK_TOKENS = 200_000
 SEED = 20_240
@@ -46,7 +46,6 @@ class Plan:
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, s, tokens) of every row; tokens are words between ASCII white space."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -30,13 +30,15 @@ gives an empty table; texts of any length are taken whole; other columns are lef
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, release, small_batches, with_checkpoints
+from .common import Scratch, mix64, partitions
 from .links import components
 
 PARTS = 8
@@ -121,29 +123,83 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, node, keys, sketch): the last two only with the first of equal sets that a task meets."""
+    """(id, size, node, sketch): the last one only with the first of equal sets that a task meets."""
     classes = Classes(percent)
 
     def run(batches):
         known: set[int] = set()
         for b in batches:
-            size, node, keys, sketch = [], [], [], []
+            size, node, sketch = [], [], []
             for text in b.column("text").cast(pa.binary()):
                 g = shingles(text.as_py() or b"", n)
                 size.append(len(g))
                 node.append(node_of(g) if len(g) else None)
                 new = len(g) > 0 and node[-1] not in known
-                keys.append(classes.keys(g).view(np.int64) if new else [])
                 sketch.append(classes.sketch(g) if new else [])
                 if new:
                     known.add(node[-1])
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                ["id", "size", "node", "keys", "sketch"],
+                [b.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
+                ["id", "size", "node", "sketch"],
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, size long, node long, keys array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "id long, size long, node long, sketch array<long>")
+
+
+def hits(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
+    """(key, node, size, held) of the keys that two nodes or more have. The keys travel once, straight
+    from the texts to the task that sorts them; a task that meets a set again sends nothing. `held`,
+    the nodes of the key that stand together in one batch, only ranks nodes."""
+    classes = Classes(percent)
+
+    def send(batches):
+        known: set[int] = set()
+        for b in batches:
+            keys, node, size = [np.empty(0, np.int64)], [], []
+            for text in b.column("text").cast(pa.binary()):
+                g = shingles(text.as_py() or b"", n)
+                if not len(g) or (own := node_of(g)) in known:
+                    continue
+                known.add(own)
+                keys.append(classes.keys(g).view(np.int64))
+                node.append(own)
+                size.append(len(g))
+            counts = list(map(len, keys[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(node, np.int64), counts)), pa.array(np.repeat(np.array(size, np.int32), counts))],
+                ["key", "node", "size"],
+            )
+
+    def shared(batches):
+        """Rows in order of key and node: drops repeated ones and keys of one node."""
+        carry = last = None  # a row that may yet meet another of its key; the last row that was sent
+        for b in batches:
+            key, node, size = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "size"))
+            if carry is not None:
+                key, node, size = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(carry, (key, node, size), strict=True))
+                carry = None
+            if not len(key):
+                continue
+            new = np.r_[last is None or (key[0], node[0]) != last, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            key, node, size = key[new], node[new], size[new]
+            if not len(key):
+                continue
+            group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+            held = np.bincount(group)[group]
+            if last is not None and last[0] == key[0]:
+                held[group == 0] += 1
+            ok = held > 1
+            if ok[-1]:
+                last = (key[-1], node[-1])
+            else:
+                carry = (key[-1], node[-1], size[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (key, node, size, held.astype(np.int64))], ["key", "node", "size", "held"])
+
+    rows = docs.select(docs[text_col].cast("string").alias("text"))
+    keyed = rows.mapInArrow(send, "key long, node long, size int")
+    dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(shared, "key long, node long, size int, held long")
 
 
 def segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -177,27 +233,40 @@ def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return each.groupBy("a", "b", "part", "size_a", "size_b").agg(F.max("n").alias("n")).drop("part")
 
 
-def counted_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def counted_links(pairs: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose overlaps, counted in every part and summed, reach the threshold; `TURN`
     parts at a time."""
-    spark, counted = pairs.sparkSession, None
+    counted, names = None, []
     for i in range(0, PARTS, TURN):
-        some = overlaps(pairs, parts.where(F.col("part").between(i, i + TURN - 1))).checkpoint()
+        names.append(f"overlaps-{uuid.uuid4().hex}")
+        some = scratch.put(names[-1], overlaps(pairs, parts.where(F.col("part").between(i, i + TURN - 1))))
         counted = some if counted is None else counted.unionByName(some)
-        release(spark)
     total = counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
-    return total.where(100 * F.col("n") >= percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b")
+    links = scratch.put(f"links-{uuid.uuid4().hex}", total.where(100 * F.col("n") >= percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b"))
+    scratch.drop(*names)
+    return links
+
+
+def apart(length: np.ndarray, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches a[i] and b[i] differ, both folded to the shorter one's length;
+    `length` words each, one after the other in `flat`."""
+    starts, short, out = np.cumsum(length) - length, np.minimum(length[a], length[b]), np.zeros(len(a), np.int64)
+    for s in np.unique(short).tolist():
+        of, step = np.flatnonzero(short == s), max(1, (1 << 21) // s)
+        for i in (of[k : k + step] for k in range(0, len(of), step)):
+            rows, back = np.unique(np.concatenate([a[i], b[i]]), return_inverse=True)
+            f = np.zeros((len(rows), s), np.uint64)
+            for k in range(0, int(length[rows].max()), s):
+                has = length[rows] > k
+                f[has] ^= flat[starts[rows[has]][:, None] + np.arange(k, k + s)]
+            out[i] = np.bitwise_count(f[back[: len(i)]] ^ f[back[len(i) :]]).sum(1, dtype=np.int64)
+    return out
 
 
-def folded(length: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Sketches of these lengths, all folded to the shortest one's."""
-    short = int(length.min())
-    starts = np.cumsum(length) - length
-    out = np.zeros((len(length), short), np.uint64)
-    for k in range(int(length.max()) // short):
-        has = length > k * short
-        out[has] ^= flat[starts[has][:, None] + np.arange(k * short, (k + 1) * short)]
-    return out
+def words(*columns: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and content of list columns, one after the other."""
+    length = np.concatenate([np.diff(c.offsets.to_numpy()) for c in columns])
+    return length, np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in columns]).view(np.uint64)
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -208,129 +277,132 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            a_, b_ = (b.column(c) for c in ("sketch_a", "sketch_b"))
-            keep = np.zeros(len(b), bool)
-            la, lb = np.diff(a_.offsets.to_numpy()), np.diff(b_.offsets.to_numpy())
-            fa, fb = a_.flatten().to_numpy(False).view(np.uint64), b_.flatten().to_numpy(False).view(np.uint64)
-            sa, sb, size = np.cumsum(la) - la, np.cumsum(lb) - lb, b.column("size_a").to_numpy(False) + b.column("size_b").to_numpy(False)
-            for i in range(len(b)):
-                x, y = fa[sa[i] : sa[i] + la[i]], fb[sb[i] : sb[i] + lb[i]]
-                short = min(len(x), len(y))
-                x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
-                keep[i] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= (100 - percent) * size[i] // (100 + percent)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            length, flat = words(b.column("sketch_a"), b.column("sketch_b"))
+            size, at = b.column("size_a").to_numpy() + b.column("size_b").to_numpy(), np.arange(len(b))
+            yield b.select(["a", "b"]).filter(pa.array(apart(length, flat, at, at + len(b)) <= (100 - percent) * size // (100 + percent)))
 
     return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def open_pairs(side: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of nodes of one key but different components that may be links by their sizes
-    and sketches; side: (key, node, size, sketch, component, main), main one component of the key.
-    One of the two is outside `main`, so those meet all."""
-    spark = side.sparkSession
+def tasks(side: DataFrame) -> DataFrame:
+    """(task, side, node, size, component): where the nodes of a key meet those of other components;
+    side: (key, node, size, component, main), main one component of the key. One of two such nodes is
+    outside `main`, so those meet all, in chunks of `LEFT` and `RIGHT`."""
     outside = F.col("component") != F.col("main")
     per = side.groupBy("key").agg(F.count(F.when(outside, 1)).alias("l"), F.count("*").alias("r")).where("l > 0")
     per = per.select(F.col("key").alias("k"), *(F.ceil(F.col(n) / LEFT if n == "l" else F.col(n) / RIGHT).alias(n) for n in "lr"))
     cut = side.join(per, F.col("key") == F.col("k"))
     chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keep = ["key", "node", "size", "sketch", "component"]
+    keep = ["key", "node", "size", "component"]
     # a key of one chunk sends each row once, for both sides (2) or for the right one only
     one = (F.col("l") == 1) & (F.col("r") == 1)
     zero = F.lit(0).cast("long")
     whole = cut.where(one).select(*keep, F.when(outside, 2).otherwise(1).alias("side"), zero.alias("x"), zero.alias("y"))
     left = cut.where(~one & outside).select(*keep, F.lit(0).alias("side"), chunk("l").alias("x"), every("r").alias("y"))
     right = cut.where(~one).select(*keep, F.lit(1).alias("side"), every("l").alias("x"), chunk("r").alias("y"))
-    both = whole.unionByName(left).unionByName(right).select(F.xxhash64("key", "x", "y").alias("task"), "side", "node", "size", "sketch", "component")
+    return whole.unionByName(left).unionByName(right).select(F.xxhash64("key", "x", "y").alias("task"), "side", "node", "size", "component")
+
+
+def open_pairs(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes of one task but different components that may be links by their sizes
+    and sketches; met: as `tasks` gives it; nodes: (node, sketch)."""
 
     def meet(t: pa.Table) -> pa.RecordBatch:
-        one = t.column("side").to_numpy()
-        node, size, comp = (t.column(c).to_numpy() for c in ("node", "size", "component"))
-        sk = t.column("sketch").combine_chunks()
-        sketch = folded(np.diff(sk.offsets.to_numpy()), sk.flatten().to_numpy().view(np.uint64))
-        l, r = np.flatnonzero(one != 1), np.flatnonzero(one != 0)
-        out = [np.empty(0, np.int64), np.empty(0, np.int64)]
-        for i in l:
-            ok = r[(comp[r] != comp[i]) & (100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i]))]
-            differ = np.bitwise_count(sketch[ok] ^ sketch[i]).sum(1, dtype=np.int64)
-            ok = ok[differ <= (100 - percent) * (size[ok] + size[i]) // (100 + percent)]
-            out[0], out[1] = np.append(out[0], np.minimum(node[ok], node[i])), np.append(out[1], np.maximum(node[ok], node[i]))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
+        """Whole tasks, in order."""
+        t = t.combine_chunks()
+        task, side, node, size, comp = (t.column(c).to_numpy() for c in ("task", "side", "node", "size", "component"))
+        length, flat = words(*t.column("sketch").chunks)
+        group = np.cumsum(np.r_[True, task[1:] != task[:-1]]) - 1
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        n = np.bincount(group[right], minlength=group[-1] + 1)
+        per, first = n[group[left]], (np.cumsum(n) - n)[group[left]]
+        done = np.cumsum(per)
+        out, i = [np.empty((0, 2), np.int64)], 0
+        while i < len(left):
+            j = max(i + 1, int(np.searchsorted(done, done[i] - per[i] + (1 << 20), "right")))
+            a = np.repeat(left[i:j], per[i:j])
+            b = right[np.arange(len(a)) - np.repeat(done[i:j] - per[i:j] - first[i:j], per[i:j]) + (done[i] - per[i])]
+            ok = (comp[a] != comp[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+            a, b = a[ok], b[ok]
+            ok = apart(length, flat, a, b) <= (100 - percent) * (size[a].astype(np.int64) + size[b]) // (100 + percent)
+            a, b = node[a[ok]], node[b[ok]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            i = j
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches):
         """Tasks in order; the last one of a batch may go on in the next."""
         held: list[pa.RecordBatch] = []
-        now = None
         for b in batches:
-            task = b.column("task").to_numpy(False)
-            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i == j:
-                    continue
-                if task[i] != now and held:
-                    yield meet(pa.Table.from_batches(held))
-                    held = []
-                now = task[i]
-                held.append(b.slice(i, j - i))
+            task = b.column("task").to_numpy()
+            if not len(task):
+                continue
+            cuts = np.flatnonzero(task[1:] != task[:-1])
+            if held and held[-1].column("task")[0].as_py() != task[0]:
+                cuts = np.r_[-1, cuts]
+            if len(cuts):
+                held.append(b.slice(0, int(cuts[-1]) + 1))
+                yield meet(pa.Table.from_batches(held))
+                held, b = [], b.slice(int(cuts[-1]) + 1)
+            held.append(b)
         if held:
             yield meet(pa.Table.from_batches(held))
 
-    dealt = both.repartition(partitions(spark), "task").sortWithinPartitions("task")
+    both = met.join(nodes.select(F.col("node").alias("nn"), "sketch"), F.col("node") == F.col("nn")).drop("nn")
+    dealt = both.repartition(partitions(met.sparkSession), "task").sortWithinPartitions("task")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def join_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    with_checkpoints(spark)
-    rows = sets(docs, n, percent, id_col, text_col).checkpoint()
-    keyed = rows.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node", F.col("size").cast("int").alias("size"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held")).where("low < high").select(F.col("key").alias("k"), "held").checkpoint()
-    release(spark)
-    hits = keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size", "held").distinct().checkpoint()
-    release(spark)
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    rows = scratch.put("rows", sets(docs, n, percent, id_col, text_col))
+    met = scratch.put("hits", hits(docs, n, percent, text_col))
 
     # every key's most central node: the one whose keys are held by most
-    central = hits.groupBy("node").agg(F.sum("held").alias("held")).select(F.col("node").alias("cn"), F.col("held").alias("central"))
-    first = hits.join(central, F.col("node") == F.col("cn")).groupBy("key").agg(F.max(F.struct("central", "node"))["node"].alias("hub")).select(F.col("key").alias("k"), "hub").checkpoint()
-    stars = hits.join(first, F.col("key") == F.col("k")).where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct().checkpoint()
+    central = met.groupBy("node").agg(F.sum("held").alias("held")).select(F.col("node").alias("cn"), F.col("held").alias("central"))
+    first = met.join(central, F.col("node") == F.col("cn")).groupBy("key").agg(F.max(F.struct("central", "node"))["node"].alias("hub"))
+    first = scratch.put("first", first.select(F.col("key").alias("k"), "hub"))
+    hubbed = scratch.put("hubbed", met.join(first, F.col("key") == F.col("k")).select("key", "node", "size", "hub"))
+    scratch.drop("hits", "first")
+    stars = scratch.put("stars", hubbed.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     # what the hits' nodes have; all of equal sets' rows agree
-    held = rows.where(F.size("keys") > 0).join(hits.select(F.col("node").alias("hn")).distinct(), F.col("node") == F.col("hn"), "left_semi")
-    nodes = held.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")).checkpoint()
-    release(spark)
+    held = rows.where(F.size("sketch") > 0).join(hubbed.select(F.col("node").alias("hn")).distinct(), F.col("node") == F.col("hn"), "left_semi")
+    nodes = scratch.put("nodes", held.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The links among the pairs; reads the texts of one document for each of their nodes."""
         ends = pairs.select(F.col("a").alias("en")).union(pairs.select(F.col("b").alias("en"))).distinct()
         reps = rows.where("size > 0").join(ends, F.col("node") == F.col("en"), "left_semi").groupBy("node").agg(F.min("id").alias("rep"))
-        parts = segments(docs, reps, n, id_col, text_col).checkpoint()
-        release(spark)
-        links = counted_links(pairs, parts, percent).checkpoint()
-        del parts
-        release(spark)
+        parts = scratch.put(f"{name}-parts", segments(docs, reps, n, id_col, text_col))
+        links = counted_links(pairs, parts, percent, scratch)
+        scratch.drop(f"{name}-parts")
         return links
 
-    links = verified(plausible(stars, nodes, percent).checkpoint())
-    found = components(links).checkpoint()
+    links = verified(scratch.put("star-pairs", plausible(stars, nodes, percent)), "stars")
+    scratch.drop("star-pairs")
+    found = components(links)
 
     of = lambda df, key, out: df.join(found.withColumnsRenamed({"node": f"__{out}", "component": out}), F.col(key) == F.col(f"__{out}"), "left").withColumn(out, F.coalesce(out, key)).drop(f"__{out}")
-    comp = of(nodes.select("node", "sketch"), "node", "component").withColumnRenamed("node", "nn")
-    side = of(hits.select("key", "node", "size").join(first, F.col("key") == F.col("k")), "hub", "main")
-    side = side.join(comp, F.col("node") == F.col("nn"))
-    mixed = side.groupBy("key").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("m")).where("m = 1").select(F.col("key").alias("mk"))
-    side = side.join(mixed, F.col("key") == F.col("mk"), "left_semi")
-    side = side.select("key", "node", "size", "sketch", "component", "main").checkpoint()
-    release(spark)
-    pairs = open_pairs(side, percent).join(stars, ["a", "b"], "left_anti").checkpoint()
-    release(spark)
+    # keys whose nodes are not all of their hub's component yet
+    side = of(of(hubbed, "hub", "main"), "node", "component")
+    side = scratch.put("side", side.select("key", "node", "size", "component", "main"))
+    scratch.drop("hubbed")
+    mixed = side.where(F.col("component") != F.col("main")).select(F.col("key").alias("mk")).distinct()
+    met = scratch.put("tasks", tasks(side.join(mixed, F.col("key") == F.col("mk"), "left_semi")))
+    scratch.drop("side")
+    pairs = scratch.put("pairs", open_pairs(met, nodes, percent).join(stars, ["a", "b"], "left_anti"))
+    scratch.drop("tasks", "stars", "nodes")
     if pairs.take(1):
-        found = components(links.unionByName(verified(pairs)))
+        found = components(links.unionByName(verified(pairs, "pairs")))
+    scratch.drop("pairs")
 
     least = rows.where("size > 0").groupBy("node").agg(F.min("id").alias("m"))
     joined = least.join(found, "node", "left").select("node", "m", F.coalesce("component", "node").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("m").alias("component_id"))
-    nodes = joined.join(smallest, "component").select(F.col("node").alias("nd"), "component_id").checkpoint()
-    out = rows.select("id", "size", "node").join(nodes, F.col("node") == F.col("nd"), "left")
+    ids = scratch.put("ids", joined.join(smallest, "component").select(F.col("node").alias("nd"), "component_id"))
+    out = rows.select("id", "size", "node").join(ids, F.col("node") == F.col("nd"), "left")
     own = F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), own.alias("component_id"))

@@ -22,7 +22,6 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
 
 SPACE = "▁"
 CACHE_ENTRIES = 200_000
@@ -264,7 +263,6 @@ def encode_documents(
     SHA-256 of the two texts in their place, made beside the encoding so that ids don't travel.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(model_path, "rb") as f:
         proto = spark.sparkContext.broadcast(f.read())  # half a MB, whatever the input
 

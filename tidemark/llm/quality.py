@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, join_sites, small_batches, with_checkpoints
+from .common import fit_logistic, join_sites, with_checkpoints
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.5
@@ -56,7 +56,6 @@ def measures(text: str | None) -> list[float]:
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
     """(doc_id, host, path, x): the measures of every text, without the text."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

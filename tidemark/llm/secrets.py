@@ -27,7 +27,6 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
 
 REACH = 300
 ASSIGN = re.compile(
@@ -156,7 +155,6 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 (of the base spans as kind:start:end joined by
     commas) and spans (all of them, joined likewise), for every row of `docs`."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -197,7 +195,6 @@ def mask_spans(text: str | None) -> str | None:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the secrets in its texts masked; all columns and rows stay."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, mix64, partitions, rolling_min, small_batches, with_checkpoints
+from .common import NULL_ID, mix64, partitions, rolling_min, with_checkpoints
 
 WINDOW = 20
 MINI = 4
@@ -246,7 +246,6 @@ def frequent_runs(rows: DataFrame, buckets: int) -> np.ndarray:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, crc, blob): pieces of every document's repeated word spans, as int32 pairs."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), docs[text_col].cast("string").alias("text")
     ).where("text is not null")

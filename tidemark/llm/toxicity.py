@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, id_remainder, small_batches
+from .common import fit_logistic, id_remainder
 
 MAX_TRAIN = 20_000
 MAX_TERMS = 2_000
@@ -190,7 +190,6 @@ def learn(
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted and n_terms (how many different terms) for every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         automaton = lexicon.automaton() if lexicon.terms else None
@@ -208,7 +207,6 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
 
 def reject(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text scores below the threshold."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
