@@ -54,6 +54,16 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def in_slices(run, rows: int = 1_000):
+    """The function over Arrow batches, given at most so many rows at a time: bounds what it holds beside
+    the batch, which Spark bounds by bytes."""
+
+    def sliced(batches):
+        return run(b.slice(i, rows) for b in batches for i in range(0, max(len(b), 1), rows))
+
+    return sliced
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_slices
 
 TOP = 300
 MAX_TRAIN = 3_000
@@ -121,7 +122,7 @@ def learn(
                 [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["lang", "gram", "n"]
             )
 
-    totals = picked.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
+    totals = picked.select("text", "lang").mapInArrow(in_slices(run), "lang string, gram long, n long")
     totals = totals.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the first TOP of each language and salt, then of each language: the driver gets TOP rows a language
     first = Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "gram")
@@ -147,4 +148,4 @@ def predict_documents(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(in_slices(run), "doc_id long, lang_pred string, score double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_sites, with_checkpoints
+from .common import in_slices, join_sites, with_checkpoints
 
 BLOCK_TOKENS = 200_000
 SEED = 20_240
@@ -53,7 +53,7 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("s"), pa.array(n, pa.int64())], ["id", "s", "tokens"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[source_col].cast("string").alias("s"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, s string, tokens long")
+    return rows.mapInArrow(in_slices(run), "id long, s string, tokens long")
 
 
 def _measures(sources: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float]]:

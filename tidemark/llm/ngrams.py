@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, partitions
+from .common import Scratch, in_slices, mix64, partitions
 from .links import components
 
 PARTS = 8
@@ -144,7 +144,7 @@ def sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> D
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, size long, node long, sketch array<long>")
+    return rows.mapInArrow(in_slices(run), "id long, size long, node long, sketch array<long>")
 
 
 def hits(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
@@ -197,7 +197,7 @@ def hits(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (key, node, size, held.astype(np.int64))], ["key", "node", "size", "held"])
 
     rows = docs.select(docs[text_col].cast("string").alias("text"))
-    keyed = rows.mapInArrow(send, "key long, node long, size int")
+    keyed = rows.mapInArrow(in_slices(send), "key long, node long, size int")
     dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(shared, "key long, node long, size int, held long")
 
@@ -220,7 +220,7 @@ def segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["node", "part", "size", "grams"])
 
-    return rows.mapInArrow(run, "node long, part int, size long, grams array<long>")
+    return rows.mapInArrow(in_slices(run), "node long, part int, size long, grams array<long>")
 
 
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:

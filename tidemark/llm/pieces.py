@@ -22,6 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_slices
 
 SPACE = "▁"
 CACHE_ENTRIES = 200_000
@@ -282,4 +283,4 @@ def encode_documents(
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, DIGESTS if digests else SCHEMA)
+    return rows.mapInArrow(in_slices(run), DIGESTS if digests else SCHEMA)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, join_sites, with_checkpoints
+from .common import fit_logistic, in_slices, join_sites, with_checkpoints
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.5
@@ -68,7 +68,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host: Column, path: Co
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path")
     )
-    return rows.mapInArrow(run, "doc_id long, host string, path string, x array<double>")
+    return rows.mapInArrow(in_slices(run), "doc_id long, host string, path string, x array<double>")
 
 
 def _strength(groups: DataFrame, prior: Column) -> float:

@@ -27,6 +27,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_slices
 
 REACH = 300
 ASSIGN = re.compile(
@@ -174,7 +175,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(in_slices(run), SCHEMA)
 
 
 def mask_spans(text: str | None) -> str | None:
@@ -202,4 +203,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             masked = pa.array([mask_spans(t.as_py()) for t in b.column(at)], pa.string())
             yield b.set_column(at, b.schema.field(at), masked.cast(b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(in_slices(run), docs.schema)

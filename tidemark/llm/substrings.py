@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, mix64, partitions, rolling_min, with_checkpoints
+from .common import NULL_ID, in_slices, mix64, partitions, rolling_min, with_checkpoints
 
 WINDOW = 20
 MINI = 4
@@ -235,7 +235,7 @@ def frequent_runs(rows: DataFrame, buckets: int) -> np.ndarray:
         if held:
             yield summed()
 
-    sums = rows.select("text").mapInArrow(run, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    sums = rows.select("text").mapInArrow(in_slices(run), "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     with_checkpoints(rows.sparkSession)
     sums = sums.checkpoint()
     total = sums.agg(F.sum("total").alias("t")).first()["t"] or 0
@@ -285,7 +285,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 blobs.append(b.column("blob")[i].as_py())
         yield found()
 
-    sent = rows.mapInArrow(send, SENT)
+    sent = rows.mapInArrow(in_slices(send), SENT)
     return sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(find, "id long, crc long, blob binary")
 
 
@@ -321,4 +321,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
             )
 
     out = both.select("doc_id", "text", "blobs")
-    return out.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digests else 'kept'} string")
+    return out.mapInArrow(in_slices(run), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digests else 'kept'} string")
