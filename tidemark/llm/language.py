@@ -6,7 +6,7 @@ and the language with the smallest out-of-place distance wins: the sum, over the
 how far each one's rank is from its rank in the profile, or `TOP` if it isn't in it.
 
 Profiles are learned from texts with a language; of a language with more than `MAX_TRAIN` of them, a
-share by hash of the id is read that holds about `MAX_TRAIN`. Every whole text is predicted.
+share by hash of id and text is read that holds about `MAX_TRAIN`. Every whole text is predicted.
 
 Cases: null texts and texts without a letter are `und`, score 0, as is any text where nothing was
 learned; of equal n-gram counts the one of smaller code points comes first, of equal distances the
@@ -102,13 +102,15 @@ def learn(
         docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")
     ).where("lang is not null and text is not null")
     rows = rows if train is None else rows.where(train)
+    # of rows with one id and text all or none are in the share
+    place = F.xxhash64("__id", "text")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return {}
     share = docs.sparkSession.createDataFrame(
-        [(r["lang"], int(min(1.0, max_train / r["n"]) * 1_000_000)) for r in sizes], "lang string, share int"
+        [(r["lang"], min((max_train << 64) // r["n"], (1 << 64) - 1) - (1 << 63)) for r in sizes], "lang string, last long"
     )
-    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.col("share"))
+    picked = rows.join(F.broadcast(share), "lang").where(place <= F.col("last"))
 
     def run(batches):
         for b in batches:

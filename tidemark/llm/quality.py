@@ -8,8 +8,8 @@ strongly is estimated from how far hosts (and paths about their hosts) differ be
 sizes explain, by the method of moments over grouped sums. A document's final log-odds are its own
 plus those of its site, less the document itself, relative to the global ones.
 
-The classifier is fitted on at most `MAX_TRAIN` labelled rows (smallest hash of the id); measures
-and site statistics take in every document.
+The classifier is fitted on at most `MAX_TRAIN` labelled ids (smallest hash), one text each (of
+different texts the one that sorts last); measures and site statistics take in every document.
 
 Cases: a null or empty text has all measures zero and takes part; a null host or path is a site of
 its own; labels that are null or without a document are left out, and of repeated ones the larger
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, in_slices, join_sites, with_checkpoints
+from .common import Scratch, fit_logistic, in_slices, join_sites
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.5
@@ -96,9 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(max_train)
     )
-    # at most max_train ids and labels; the measures of those rows come to the driver
-    rows = docs.join(F.broadcast(picked), docs[id_col].cast("long") == picked["__id"])
-    got = measured(rows, id_col, text_col, F.col("__y"), F.lit("")).select("x", "host").collect()
+    # at most max_train ids and labels; one text each, whose measures come to the driver
+    rows = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("text"))
+    rows = rows.join(F.broadcast(picked), "__id").groupBy("__id").agg(F.max("text").alias("text"), F.max("__y").alias("y"))
+    got = measured(rows, "__id", "text", F.col("y"), F.lit("")).select("x", "host").collect()
     if not got:
         return None
     a, y = np.array([r["x"] for r in got]), np.array([float(r["host"]) for r in got])
@@ -120,7 +121,6 @@ def classify(
 ) -> DataFrame:
     """doc_id, host, path, doc_score (the text alone), site_score (path posterior without the
     document), score (both) and kept (score at least `THRESHOLD`), for every row of `docs`."""
-    with_checkpoints(docs.sparkSession)
     x = measured(docs, id_col, text_col, host, path)
     model = fit(docs, labels, id_col, text_col, label_col, train, max_train)
     if model is None:
@@ -135,7 +135,7 @@ def classify(
     sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") ** 2).alias("q")]
     paths = scored.groupBy("host", "path").agg(*sums)
     # a row for each path only: small beside the documents; cut here so that texts are read once more, not thrice
-    paths = paths.checkpoint()
+    paths = Scratch(docs.sparkSession, "quality").put("paths", paths)
     n_paths = paths.count()
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     if not total["n"]:

@@ -37,11 +37,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 # Weak parts.
 IDENT = re.compile(
-    r"(?i:access[_-]?key[_-]?id|client[_-]?id|key[_-]?id|account|username|user|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,128})",
+    r"(?i:access[_-]?key[_-]?id|client[_-]?id|key[_-]?id|account|username|user|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})",
     re.ASCII,
 )
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~:@-]+(?:/[A-Za-z0-9._~/-]*)?", re.ASCII)
+KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"://[A-Za-z0-9._~:@-]+(?:/[A-Za-z0-9._~/-]*)?", re.ASCII)
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 BREAK = re.compile(r"\n[ \t\r]*\n")
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -63,6 +64,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def endpoints(text: str) -> list[tuple[int, int, str]]:
+    """Addresses with a scheme of two characters or more, found from their "://" back, so that a run of
+    any length is read once."""
+    out = []
+    for m in ENDPOINT.finditer(text):
+        run = m.start()
+        while run and text[run - 1] in SCHEME:
+            run -= 1
+        for i in range(run, m.start() - 1):
+            if text[i].isalpha() and (not i or not (text[i - 1].isalnum() or text[i - 1] == "_")):
+                out.append((i, m.end(), "endpoint"))
+                break
+    return out
+
+
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates that count only together; those that overlap a base span are left out."""
     taken = sorted((s, e) for s, e, _ in base)
@@ -76,7 +92,7 @@ def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
 
     found = [(m.start(1), m.end(1), "ident") for m in IDENT.finditer(text)] if "=" in text or ":" in text else []
     if "://" in text:
-        found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+        found += endpoints(text)
     for m in KEY.finditer(text):
         s = m.group()
         # random tokens mix digits with letters; words and paths don't
