@@ -11,7 +11,7 @@ text which many documents hold in full travels once a task. Runs of words that a
 one would load a bucket more than the mean bucket (found by a pass that sums, over all tasks, what
 holds that share of some task's words: a share of the whole must be reached in some task) come last
 in the order of minimisers, so windows that lie only partly in a common passage go by their own
-words. The list has at most `4 * buckets` entries.
+words. The list has at most `FREQUENT` entries, whatever the input; it changes only where windows meet.
 
 Removal. The words covered by repeated windows are dropped from the document; windows are judged on
 the input. Results are the kept words joined by one space.
@@ -35,13 +35,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, in_slices, mix64, partitions, rolling_min, with_checkpoints
+from .common import NULL_ID, Scratch, in_slices, mix64, partitions, rolling_min
 
 WINDOW = 20
 MINI = 4
 RUN = 512  #: most windows of one packed string
 BUCKET_BYTES = 24 << 20
 FLUSH_BYTES = 48 << 20
+FREQUENT = 250_000  #: most runs in the list of frequent ones, which only orders minimisers: 2 MB
+SPAN_BYTES = 100  #: what a span that is known as a repeat takes
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,7 +81,7 @@ def _unpack(blob: bytes):
     ids = np.frombuffer(raw, np.int64, n, 8)
     crcs = np.frombuffer(raw, np.uint32, n, 8 + 8 * n)
     starts = np.frombuffer(raw, np.int32, n, 8 + 12 * n)
-    return ids, crcs, starts, raw[8 + 16 * n :].split(b"\n")
+    return ids, crcs, starts, raw[8 + 16 * n :]
 
 
 def _spans(spans: list[tuple[int, int]]) -> bytes:
@@ -131,6 +133,7 @@ class Sender:
             if have[1:] == (doc, crc, start):
                 continue
             span = z + 1 - start
+            self.size += SPAN_BYTES
             if (doc, crc, start) < have[1:]:
                 first[packed] = (bucket, doc, crc, start)
                 self.repeats.setdefault(have[1:3], []).append((have[3], have[3] + span))
@@ -155,21 +158,26 @@ class Sender:
 SENT = "bucket long, id long, crc long, blob binary"
 
 
+def _numbered(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers, equal for equal words, and how many words each string has; words end in a
+    blank, the last one of a string in a line feed."""
+    marks = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero((marks == 32) | (marks == 10))
+    last = np.flatnonzero(marks[ends] == 10)
+    offsets = np.append(0, ends + 1).astype(np.int64)
+    alike = pa.py_buffer(raw.replace(b"\n", b" "))
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), alike])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False), np.diff(np.append(-1, last))
+
+
 def repeats_of(blobs: list[bytes]) -> dict[tuple[int, int], list[tuple[int, int]]]:
     """The repeated word spans, by document, among a bucket's packed strings."""
     parts = [_unpack(b) for b in blobs]
     ids, crcs, starts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    split = [t.split(b" ") for p in parts for t in p[3]]
+    raw = b"\n".join([p[3] for p in parts]) + b"\n"
     del parts
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    numbers: dict[bytes, int] = {}
-    codes = np.empty(int(lengths.sum()), np.int32)
-    at = 0
-    for words in split:
-        for w in words:
-            codes[at] = numbers.setdefault(w, len(numbers))
-            at += 1
-    del split, numbers
+    codes, lengths = _numbered(raw)
+    del raw
     windows = lengths - WINDOW + 1
     owner = np.repeat(np.arange(len(lengths)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -236,11 +244,13 @@ def frequent_runs(rows: DataFrame, buckets: int) -> np.ndarray:
             yield summed()
 
     sums = rows.select("text").mapInArrow(in_slices(run), "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    with_checkpoints(rows.sparkSession)
-    sums = sums.checkpoint()
+    scratch = Scratch(rows.sparkSession, "frequent")
+    sums = scratch.put("sums", sums)
     total = sums.agg(F.sum("total").alias("t")).first()["t"] or 0
-    top = sums.where(F.col("n") >= F.lit(max(2.0, least * total))).orderBy(F.desc("n"), "h").limit(4 * buckets)
-    return np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64).view(np.uint64))
+    top = sums.where(F.col("n") >= F.lit(max(2.0, least * total))).orderBy(F.desc("n"), "h").limit(min(4 * buckets, FREQUENT))
+    out = np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64).view(np.uint64))
+    scratch.drop()
+    return out
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +261,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * partitions(spark), 3 * size // BUCKET_BYTES)
-    hot = spark.sparkContext.broadcast(frequent_runs(rows, buckets))  # 8 bytes each, 4 * buckets at most
+    hot = spark.sparkContext.broadcast(frequent_runs(rows, buckets))  # 8 bytes each, FREQUENT at most
 
     def send(batches):
         sender = Sender(buckets, hot.value)
