@@ -20,11 +20,6 @@ def blank_to_null(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
 
-def normalize_ascii(x: Column) -> Column:
-    """Lower case, white space collapsed: equal to `normalize_text` for texts that are ASCII."""
-    return F.lower(clean(F.coalesce(x, F.lit(""))))
-
-
 def normalized(s: str | None) -> str:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s or "").casefold()).strip()
 
@@ -102,8 +97,6 @@ def image_url(base: str, code: Column, key: Column, rev: Column) -> Column:
 
 
 def first_image(x: Column) -> Column:
-    """From a JSON text: a plain address, the smallest key of an object, or the first of a list."""
-    asmap = F.from_json(x, "map<string,string>")
-    aslist = F.from_json(x, "array<string>")
+    """From a JSON text: the smallest key of an object, the first element of a list, else empty."""
     t = F.trim(x)
-    return F.when(t.startswith("{"), F.array_min(F.map_keys(asmap))).when(t.startswith("["), F.get(aslist, F.lit(0))).otherwise(blank_to_null(F.trim(F.translate(t, '"', ""))))
+    return F.coalesce(F.when(t.startswith("{"), F.array_min(F.map_keys(F.from_json(x, "map<string,string>")))).when(t.startswith("["), F.get(F.from_json(x, "array<string>"), F.lit(0))), F.lit(""))

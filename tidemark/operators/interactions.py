@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,13 +12,29 @@ from ..functions.text import stable_order
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder (one is made only where none is set)."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage in the cluster's shared folder. Where none is set, a local session gets a folder
+    of its own; a cluster gets an error."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, by: list[str], name: str = "place") -> DataFrame:
+    """`rows` with their place from 0 in the order of `by`, nulls first: the place in their range
+    partition plus the sizes of those before it, so no task sorts all rows. Rows alike in `by` are
+    numbered in any order; an empty table stays empty."""
+    rows = checkpointed(rows.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()))
+    sizes = rows.groupBy("__p").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.withColumn("__before", F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*by))
+    out = rows.withColumn("__o", own).join(F.broadcast(before.select("__p", "__before")), "__p")
+    return out.withColumn(name, (F.col("__o") - 1 + F.coalesce("__before", F.lit(0))).cast("long")).drop("__p", "__o", "__before")
+
+
 def latest(rows: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """The latest time of each key; a combinable maximum, so hot keys shrink before the shuffle."""
     return rows.groupBy(*keys).agg(F.max(ts).alias(ts))
@@ -57,16 +74,59 @@ def leave_two_out(rows: DataFrame, user: list[str], item: str, ts: str, seed: in
     return timed.withColumn("__place", place).withColumn("split", split).drop("__timed", "__n", "__place")
 
 
-def cold_items(degree: DataFrame, item: str, share: float, seed: int) -> DataFrame:
-    """Held-out items by strata of floor(log2(degree)): `share` of each for val and as much for test,
-    in order of hash. A stratum's items are ranked within the stratum only."""
-    stratum = degree.withColumn("bucket", F.floor(F.log2(F.greatest("degree", F.lit(1)))).cast("int"))
-    per = Window.partitionBy("bucket")
-    n = F.bround(F.count("*").over(per) * F.lit(share)).cast("long")
-    place = F.row_number().over(per.orderBy(stable_order(F.col(item).cast("string"), seed), item))
-    ranked = stratum.withColumn("__n", n).withColumn("__p", place)
-    split = F.when(F.col("__p") <= F.col("__n"), "cold_val").when(F.col("__p") <= 2 * F.col("__n"), "cold_test")
-    return ranked.withColumn("split", split).where("split is not null").drop("__n", "__p")
+def cold_items(degree: DataFrame, item: str, share: float, seed: int, prefix: str = "") -> DataFrame:
+    """(item, degree, bucket, split): cold_val and cold_test items, each round(share * items) of them
+    (half to even), dealt over strata of floor(log2(degree)) by largest remainders; test within what
+    val leaves of a stratum. Within a stratum items come in the order of the hash of `prefix` and the
+    item. No item: no row."""
+    strata = degree.withColumn("bucket", F.floor(F.log2(F.greatest("degree", F.lit(1)))).cast("int"))
+    sizes = strata.groupBy("bucket").agg(F.count("*").alias("size"))  # a row a stratum
+    total = F.bround(F.sum("size").over(Window.partitionBy()) * F.lit(share)).cast("long")
+    val = quotas(total, sizes, "bucket", "size").withColumnRenamed("quota", "nv")
+    both = quotas(total, val.withColumn("room", F.col("size") - F.col("nv")), "bucket", "size", "room").withColumnRenamed("quota", "nt")
+    key = stable_order(F.concat(F.lit(prefix), F.col(item).cast("string")), seed)
+    places = numbered(strata.withColumn("__h", key), ["bucket", "__h", item], "__place")
+    first = places.groupBy("bucket").agg(F.min("__place").alias("__first"))
+    x = places.join(F.broadcast(both.join(first, "bucket").select("bucket", "nv", "nt", "__first")), "bucket")
+    at = F.col("__place") - F.col("__first")
+    split = F.when(at < F.col("nv"), "cold_val").when(at < F.col("nv") + F.col("nt"), "cold_test")
+    return x.withColumn("split", split).where("split is not null").select(item, "degree", "bucket", "split")
+
+
+def cold_sample(degree: DataFrame, item: str, share: float, val_share: float, seed: int) -> DataFrame:
+    """(item, split): int(items * share) of the items with interactions, never all of them, in the order
+    of a hash; round(that * val_share) of these (at least one, and one less than all, where there are two)
+    are cold_val, the others cold_test."""
+    seen = degree.where("degree > 0").withColumn("__h", stable_order(F.col(item).cast("string"), seed))
+    n = seen.count()
+    cold = min(int(n * share), max(n - 1, 0))
+    val = min(max(round(cold * val_share), 1), cold - 1) if cold > 1 else cold
+    place = numbered(seen.select(item, "__h"), ["__h", item], "__place").where(F.col("__place") < cold)
+    return place.select(item, F.when(F.col("__place") < val, "cold_val").otherwise("cold_test").alias("split"))
+
+
+def chronological_split(rows: DataFrame, market: str, user: str, item: str, ts: str, cold: DataFrame, seed: int) -> DataFrame:
+    """`split` of every row: rows of the market's cold items (market, item, split) go with their item;
+    the rest of a user's rows in a market are split by `leave_two_out`, so only warm rows count."""
+    held = cold.select(F.col(market).alias("__m"), F.col(item).alias("__i"), F.col("split").alias("__cold"))
+    x = rows.join(held, (F.col(market) == F.col("__m")) & (F.col(item) == F.col("__i")), "left").drop("__m", "__i")
+    warm = leave_two_out(x.where("__cold is null").drop("__cold"), [market, user], item, ts, seed)
+    return warm.unionByName(x.where("__cold is not null").withColumnRenamed("__cold", "split"))
+
+
+def user_positives(rows: DataFrame, user: str, item: str) -> DataFrame:
+    """(user, items): each user's distinct items, ascending."""
+    return rows.groupBy(user).agg(F.array_sort(F.collect_set(item)).alias("items"))
+
+
+def merged_positives(parts: list[DataFrame], user: str, item: str) -> DataFrame:
+    """The positives of several splits as one list a user."""
+    return user_positives(reduce(DataFrame.unionByName, [p.select(user, item) for p in parts]), user, item)
+
+
+def only_items(positives: DataFrame, items: DataFrame, item: str) -> DataFrame:
+    """Rows of the given items; a user without any is gone."""
+    return positives.join(items.select(item).distinct(), item, "left_semi").select(*positives.columns)
 
 
 def ratio_split(pairs: DataFrame, user: str, item: str, val: float, test: float, seed: int) -> DataFrame:
@@ -98,15 +158,8 @@ def repair_warm(split: DataFrame, user: str, item: str, never: DataFrame | None
 
 
 def dictionary(rows: DataFrame, key: Column, name: str = "key") -> DataFrame:
-    """(key, id): dense ids from 0 in sorted order. Keys are range-partitioned and numbered by their
-    place in their partition plus the sizes of those before it, so no task holds all of them."""
-    keys = rows.select(key.alias(name)).where(F.col(name).isNotNull()).distinct()
-    keys = checkpointed(keys.repartitionByRange(name).withColumn("__p", F.spark_partition_id()))
-    sizes = keys.groupBy("__p").agg(F.count("*").alias("n"))  # a row a partition
-    before = sizes.withColumn("__before", F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(name))
-    out = keys.withColumn("__o", own).join(F.broadcast(before.select("__p", "__before")), "__p")
-    return out.select(name, (F.col("__o") - 1 + F.coalesce("__before", F.lit(0))).cast("long").alias("id"))
+    """(key, id): dense ids from 0 in sorted order; null keys get none."""
+    return numbered(rows.select(key.alias(name)).where(F.col(name).isNotNull()).distinct(), [name], "id")
 
 
 def overlaps(split: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,12 +167,18 @@ def overlaps(split: DataFrame, keys: list[str]) -> DataFrame:
     return split.groupBy(*keys).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
 
 
-def quotas(total: int, sizes: DataFrame, key: str, size: str) -> DataFrame:
-    """Largest-remainder shares of `total` in proportion to `size`, ties by key, none above its size
-    as long as the sizes add up to the total or more. For tables of groups, not of rows."""
+def quotas(total: int | Column, sizes: DataFrame, key: str, size: str, capacity: str | None = None) -> DataFrame:
+    """Shares of `total` in proportion to `size` by largest remainders, ties by key, none above its
+    capacity (its size, if none is given); places that a full group can't take go to the next ones of
+    the order, round by round. For tables of groups, not of rows."""
+    total, cap = (total if isinstance(total, Column) else F.lit(total)), F.col(capacity or size)
     whole = Window.partitionBy()
-    raw = F.lit(float(total)) * F.col(size) / F.sum(size).over(whole)
-    x = sizes.withColumn("__raw", raw).withColumn("__base", F.floor("__raw"))
-    left = F.lit(total) - F.sum("__base").over(whole)
-    place = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("__raw") - F.col("__base"), 9)), key))
-    return x.withColumn("quota", (F.col("__base") + F.when(place <= left, 1).otherwise(0)).cast("long")).drop("__raw", "__base")
+    ideal = total.cast("double") * F.col(size) / F.sum(size).over(whole)
+    x = sizes.withColumn("__ideal", ideal).withColumn("__base", F.least(F.floor("__ideal"), cap))
+    x = x.withColumn("__left", total - F.sum("__base").over(whole)).withColumn("__rest", F.round(F.col("__ideal") - F.col("__base"), 9))
+    # a place of round j (from 1) exists for a group with room for j more; the first `left` of all are taken
+    seats = x.withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), F.least(cap - F.col("__base"), F.col("__left"))))).where("__j > 0 and __left > 0")
+    seats = seats.withColumn("__n", F.row_number().over(Window.orderBy("__j", F.desc("__rest"), key))).where("__n <= __left")
+    more = seats.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__more"))
+    out = x.join(more, F.col(key) == F.col("__k"), "left")
+    return out.withColumn("quota", (F.col("__base") + F.coalesce("__more", F.lit(0))).cast("long")).drop("__ideal", "__base", "__left", "__rest", "__k", "__more")

@@ -58,12 +58,26 @@ def report(metrics: DataFrame, eligible: DataFrame) -> DataFrame:
 
 
 def coverage(eligible: DataFrame, truth: DataFrame, users: DataFrame) -> DataFrame:
-    """(k, users and truths in and out of eligible markets, their shares, smallest candidate set)."""
+    """A row a k: users and truths in and out of eligible markets and their shares, the smallest candidate
+    set of an eligible market (0 without one), and the markets in and out, ascending and joined by commas."""
     n = users.join(truth, "user").groupBy("market").agg(F.count("*").alias("positives"))
     x = eligible.join(n, "market", "left").withColumn("positives", F.coalesce("positives", F.lit(0)))
     part = lambda c, ok: F.coalesce(F.sum(F.when(F.col("eligible") == F.lit(ok), F.col(c))), F.lit(0)).alias(f"{c}_{'in' if ok else 'out'}")
-    out = x.groupBy("k").agg(*[part(c, ok) for c in ("users", "positives") for ok in (True, False)], F.min("min_candidates").alias("min_candidates"), F.count(F.when(~F.col("eligible"), 1)).alias("markets_out"))
-    return out.withColumn("users_share", F.try_divide("users_in", F.col("users_in") + F.col("users_out")))
+    names = lambda ok: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(F.col("eligible") == F.lit(ok), F.col("market")))), lambda m: m.cast("string")))
+    least = F.coalesce(F.min(F.when(F.col("eligible"), F.col("min_candidates"))), F.lit(0)).alias("min_candidates")
+    out = x.groupBy("k").agg(*[part(c, ok) for c in ("users", "positives") for ok in (True, False)], least, names(True).alias("markets_in"), names(False).alias("markets_out"))
+    share = lambda c: F.coalesce(F.try_divide(f"{c}_in", F.col(f"{c}_in") + F.col(f"{c}_out")), F.lit(0.0))
+    return out.withColumns({"users_share": share("users"), "positives_share": share("positives")})
+
+
+def no_truth(ks: list[int], spark) -> DataFrame:
+    """The report without any user: zeros for every k."""
+    return spark.createDataFrame([(k, scope, -1, 0.0, 0.0, 0.0) for k in ks for scope in ("micro", "macro")], "k int, scope string, market int, recall double, ndcg double, hit double")
+
+
+def truth_outside(truth: DataFrame, cands: DataFrame) -> DataFrame:
+    """(user, item) of truths that are no candidate of their user; a ranking needs it empty."""
+    return truth.select("user", "item").join(cands.select("user", "item"), ["user", "item"], "left_anti")
 
 
 def diagnostic_subsets(items: DataFrame, views: DataFrame, degree: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .interactions import numbered
+
 
 def uniform(key: Column, seed: int) -> Column:
     """In (0, 1), from the first 13 hex digits of a digest: the same in any engine."""
@@ -21,12 +23,7 @@ def keep_by_degree(pairs: DataFrame, ratio: float, seed: int) -> DataFrame:
     di = pairs.groupBy("item").agg(F.count("*").alias("__di"))
     key = F.concat_ws(":", F.col("user").cast("string"), F.col("item").cast("string"))
     ranked = pairs.join(du, "user").join(di, "item").withColumn("__k", F.round(-F.log(uniform(key, seed)) * F.sqrt(F.col("__du") * F.col("__di")), 9))
-    # numbered by range partitions: place within a partition plus the sizes of those before
-    ranked = ranked.repartitionByRange("__k", "user", "item").withColumn("__p", F.spark_partition_id())
-    sizes = ranked.groupBy("__p").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("__b", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
-    place = F.row_number().over(Window.partitionBy("__p").orderBy("__k", "user", "item"))
-    return ranked.withColumn("__o", place).join(F.broadcast(before), "__p").where(F.col("__o") + F.col("__b") <= keep).select("user", "item")
+    return numbered(ranked, ["__k", "user", "item"]).where(F.col("place") < keep).select("user", "item")
 
 
 def alpha_quota(sizes: DataFrame, key: str, total: int, alpha: float) -> DataFrame:

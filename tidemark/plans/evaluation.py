@@ -87,7 +87,8 @@ def rank_metrics_micro_macro(spark, sf_dir):
 @query(f"""WITH {BRANDS}, pos AS (SELECT market, count(*) AS positives FROM users JOIN truth USING (user) GROUP BY 1)
   SELECT k, coalesce(sum(users) FILTER (eligible), 0)::BIGINT AS users_in, coalesce(sum(users) FILTER (NOT eligible), 0)::BIGINT AS users_out,
     coalesce(sum(positives) FILTER (eligible), 0)::BIGINT AS positives_in, coalesce(sum(positives) FILTER (NOT eligible), 0)::BIGINT AS positives_out,
-    min(min_candidates) AS min_candidates, count(*) FILTER (NOT eligible) AS markets_out, coalesce(sum(users) FILTER (eligible), 0) / sum(users)::DOUBLE AS users_share
+    coalesce(min(min_candidates) FILTER (eligible), 0) AS min_candidates, coalesce(string_agg(market, ',' ORDER BY market) FILTER (eligible), '') AS markets_in, coalesce(string_agg(market, ',' ORDER BY market) FILTER (NOT eligible), '') AS markets_out,
+    coalesce(sum(users) FILTER (eligible), 0) / sum(users)::DOUBLE AS users_share, coalesce(sum(positives) FILTER (eligible), 0) / sum(positives)::DOUBLE AS positives_share
   FROM elig LEFT JOIN pos USING (market) GROUP BY k""")
 def coverage_report(spark, sf_dir):
     _, _, truth, users, _, cands = setting(spark, sf_dir)
@@ -113,7 +114,7 @@ def cross_border_share(spark, sf_dir):
 
 
 FLOWS = "f AS (SELECT s_nationkey AS partner, c_nationkey AS market, l_extendedprice AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
-IMPORTS = f"""{FLOWS}, pos AS (SELECT * FROM f WHERE value > 0 AND market <> partner AND market % 5 <> 4),
+IMPORTS = f"""{FLOWS}, pos AS (SELECT * FROM f WHERE value > 0 AND market <> partner),
   imp AS (SELECT market, partner AS origin, sum(value) AS value FROM pos WHERE partner < 6 GROUP BY 1, 2
     UNION ALL SELECT market, -1, greatest(sum(value) - coalesce(sum(value) FILTER (partner < 6), 0), 0) FROM pos GROUP BY 1)"""
 
@@ -143,12 +144,12 @@ def trade_shares(spark, sf_dir):
     return rounded(trade.shares(imports(spark, sf_dir), markets), "share")
 
 
-@query(f"WITH {FLOWS} SELECT partner AS market, market AS origin, round(sum(value), 2) AS value FROM f WHERE value > 0 GROUP BY 1, 2")
+@query(f"WITH {FLOWS} SELECT partner AS market, market AS origin, round(sum(value), 2) AS value FROM f WHERE value > 0 AND market <> partner GROUP BY 1, 2")
 def mirror_exports(spark, sf_dir):
     return rounded(trade.mirror_exports(flows(spark, sf_dir)), "value", digits=2)
 
 
-@query(f"""WITH {IMPORTS}, mir AS (SELECT partner AS market, market AS origin, sum(value) AS value FROM f WHERE value > 0 GROUP BY 1, 2),
+@query(f"""WITH {IMPORTS}, mir AS (SELECT partner AS market, market AS origin, sum(value) AS value FROM f WHERE value > 0 AND market <> partner GROUP BY 1, 2),
   u AS (SELECT *, 0 AS source FROM imp UNION ALL SELECT *, 1 FROM mir)
   SELECT market, origin, round(value, 2) AS value, source FROM u QUALIFY source = min(source) OVER (PARTITION BY market)""")
 def trade_matrix_coalesced(spark, sf_dir):
@@ -208,14 +209,13 @@ def diagnostic_subsets(spark, sf_dir):
     return ranking.diagnostic_subsets(items, views(spark, sf_dir), degree)
 
 
-@query(f"""WITH {VIEWS} SELECT item, CAST(max(CAST(valid AS INT)) AS DOUBLE) AS has_text, round(avg(CAST(valid AND NOT is_fallback AS INT)), 9) AS genuine,
-    round(coalesce(avg(CAST(is_fallback AS INT)) FILTER (valid), 0), 9) AS fallback, round(coalesce(avg(language_confidence) FILTER (dedup), 0), 9) AS confidence FROM d GROUP BY 1""")
+@query(f"""WITH {VIEWS}, r AS (SELECT item, CAST(max(CAST(dedup AS INT)) AS DOUBLE) AS text, greatest(count(*) FILTER (dedup), 1) AS n, count(*) FILTER (dedup AND NOT is_fallback) AS g,
+    count(*) FILTER (dedup AND NOT is_fallback AND language = 'en') AS l, count(*) FILTER (dedup AND is_fallback) AS f FROM d GROUP BY 1)
+  SELECT item, text, round(g / n, 9) AS genuine, round(l / n, 9) AS local, round(f / n, 9) AS fallback, CAST(item % 3 <> 0 AS INT)::DOUBLE AS observed, CAST(item % 3 <> 0 AS INT)::DOUBLE AS completion FROM r""")
 def reliability_features(spark, sf_dir):
-    v = views(spark, sf_dir)
-    return v.groupBy("item").agg(
-        F.max(F.col("valid").cast("double")).alias("has_text"), F.round(F.avg((F.col("valid") & ~F.col("is_fallback")).cast("int")), 9).alias("genuine"),
-        F.round(F.coalesce(F.avg(F.when(F.col("valid"), F.col("is_fallback").cast("int"))), F.lit(0.0)), 9).alias("fallback"), F.round(F.coalesce(F.avg(F.when(F.col("dedup"), F.col("language_confidence"))), F.lit(0.0)), 9).alias("confidence"),
-    )
+    v = views(spark, sf_dir).withColumn("is_local", F.col("language") == "en")
+    images = v.select("item").distinct().withColumn("observed", F.col("item") % 3 != 0)
+    return rounded(contract.reliability(v, images.withColumn("completion", F.col("observed").cast("double"))), "genuine", "local", "fallback")
 
 
 # graphs over parts: words of the type (frequent ones) and the brand
@@ -245,7 +245,7 @@ def ckg_edges(spark, sf_dir):
     return graph.collaborative(triples(spark, sf_dir), pairs, 2, 300_000)
 
 
-SYM = """e AS (SELECT DISTINCT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 3 = 0),
+SYM = """e AS (SELECT DISTINCT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
   w AS (SELECT a, b, 1 / sqrt(count(*) OVER (PARTITION BY a) * count(*) OVER (PARTITION BY b)) AS weight FROM e)"""
 
 

@@ -96,11 +96,14 @@ def related_asins(related: Column, most: int = 20) -> Column:
     return first_distinct(F.concat(*parts), most)
 
 
-def read_runs(spark: SparkSession, patterns: list[str], schema: T.StructType) -> DataFrame:
-    """Completed run manifests of one or more globs, each file once, with `path` and `variant`."""
+def read_runs(spark: SparkSession, patterns: list[str], schema: T.StructType, staged: str) -> DataFrame:
+    """Completed run manifests of one or more globs, each file once, with `path` and `variant`: the
+    model, and for the model `staged` (in any case) its residual stage too. No run is an error."""
     rows = spark.read.schema(schema).option("multiLine", True).json(patterns).withColumn("path", F.input_file_name())
     rows = rows.dropDuplicates(["path"]).where("status = 'completed'")
-    return rows.withColumn("variant", F.when(F.col("model") != "ACMR", F.col("model")).otherwise(F.concat_ws("-", "model", "residual")))
+    if rows.isEmpty():
+        raise ValueError(f"no completed runs in {patterns}")
+    return rows.withColumn("variant", F.when(F.lower("model") != staged.lower(), F.col("model")).otherwise(F.concat_ws("-", "model", "residual")))
 
 
 def write_json(value, path: str | Path) -> None:
