@@ -42,9 +42,9 @@ def capped_user_sample(spark, sf_dir):
   d AS (SELECT h, t.r, t.t, k, CAST(floor({U("h || ':' || t.r || ':' || t.t || ':' || k", 4)} * n) AS BIGINT) AS i FROM t JOIN n ON t.r = n.r, (SELECT unnest([0, 1, 2, 3]) AS k)),
   drawn AS (SELECT h, r, t, negative FROM (SELECT d.h, d.r, d.t, k, negative FROM d JOIN tails ON d.r = tails.r AND d.i = tails.i
     WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.h = d.h AND x.r = d.r AND x.t = negative)) QUALIFY row_number() OVER (PARTITION BY h, r, t ORDER BY k) = 1),
-  lacked AS (SELECT o.h, o.r, o.t, tails.negative, row_number() OVER (PARTITION BY o.h, o.r, o.t ORDER BY i) - 1 AS at, count(*) OVER (PARTITION BY o.h, o.r, o.t) AS m
+  lacked AS (SELECT o.h, o.r, o.t, tails.negative, row_number() OVER (PARTITION BY o.h, o.r, o.t ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY o.h, o.r, o.t) AS m
     FROM (SELECT t.* FROM t LEFT JOIN drawn USING (h, r, t) WHERE drawn.negative IS NULL) o JOIN tails ON o.r = tails.r WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.h = o.h AND x.r = o.r AND x.t = tails.negative))
-  FROM drawn UNION ALL SELECT h, r, t, negative FROM lacked WHERE at = CAST(floor({U("h || ':' || r || ':' || t || ':4'", 4)} * m) AS BIGINT)""")
+  FROM drawn UNION ALL SELECT h, r, t, negative FROM lacked WHERE pos = CAST(floor({U("h || ':' || r || ':' || t || ':4'", 4)} * m) AS BIGINT)""")
 def kg_negatives(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     t = p.select(F.col("p_partkey").alias("h"), F.lit(1).alias("r"), F.col("p_size").cast("long").alias("t")).unionByName(p.select(F.col("p_partkey").alias("h"), F.lit(2).alias("r"), F.length("p_type").cast("long").alias("t")))
