@@ -42,11 +42,12 @@ def capped(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return picked.orderBy(key)
 
 
-def negative_tails(triples: DataFrame, seed: int, tries: int = 4) -> DataFrame:
-    """(h, r, t, negative): a tail of the same relation that is no true tail of (h, r), by hash among
+def negative_tails(triples: DataFrame, seed: int, tries: int = 4, pool: DataFrame | None = None) -> DataFrame:
+    """(h, r, t, negative): a tail of the same relation (of `pool` (r, t), or of all triples) that is no true
+    tail of (h, r), by hash among
     `tries` draws from the relation's numbered tails, or where all are true tails, among those that
     (h, r) lacks; only triples of an (h, r) that lacks none are left out."""
-    tails = triples.select("r", "t").distinct()
+    tails = (triples if pool is None else pool).select("r", "t").distinct()
     per = Window.partitionBy("r").orderBy("t")
     tails = tails.withColumn("i", F.row_number().over(per) - 1).withColumnsRenamed({"t": "negative"})
     size = tails.groupBy("r").agg(F.count("*").alias("n"))
@@ -61,10 +62,42 @@ def negative_tails(triples: DataFrame, seed: int, tries: int = 4) -> DataFrame:
     # the tail of rank k among those that (h, r) lacks has the number k plus the true ones before it
     own = Window.partitionBy("h", "r")
     true = triples.distinct().join(tails.withColumnRenamed("negative", "t"), ["r", "t"])
-    true = true.withColumn("m", F.count("*").over(own)).withColumn("at", F.col("i") - F.row_number().over(own.orderBy("i")) + 1)
-    left = true.join(drawn, ["h", "r", "t"], "left_anti").join(F.broadcast(size), "r").where("m < n").withColumn("try", F.lit(tries))
+    true = true.withColumn("at", F.col("i") - F.row_number().over(own.orderBy("i")) + 1)
+    held = true.groupBy("h", "r").agg(F.count("*").alias("m"))
+    left = triples.distinct().join(drawn, ["h", "r", "t"], "left_anti").join(held, ["h", "r"], "left").fillna(0, ["m"])
+    left = left.join(F.broadcast(size), "r").where("m < n").withColumn("try", F.lit(tries))
     left = left.select("h", "r", "t", F.floor(uniform(key, seed) * (F.col("n") - F.col("m"))).cast("int").alias("at"), F.lit(1).alias("side"))
     both = true.join(left.select("h", "r").distinct(), ["h", "r"], "left_semi").select("h", "r", "t", "at", F.lit(0).alias("side")).unionByName(left)
     before = F.sum(1 - F.col("side")).over(own.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
     chosen = both.withColumn("i", (F.col("at") + before).cast("int")).where("side = 1").join(tails, ["r", "i"])
     return drawn.unionByName(chosen.select("h", "r", "t", "negative"))
+
+
+def bpr_pairs(pairs: DataFrame, homes: DataFrame, catalog: DataFrame, seed: int, tries: int = 4) -> DataFrame:
+    """(user, item, negative): for every training pair an item of the user's market (user, market) that
+    some training pair has and the user's pairs have not. A user who has all of them is left out."""
+    own = pairs.select("user", "item").distinct().join(homes.select("user", "market"), "user")
+    warm = catalog.select("market", "item").distinct().join(own.select("item").distinct(), "item", "left_semi")
+    pool = warm.select(F.col("market").alias("r"), F.col("item").alias("t"))
+    triples = own.select(F.col("user").alias("h"), F.col("market").alias("r"), F.col("item").alias("t"))
+    return negative_tails(triples, seed, tries, pool).select(F.col("h").alias("user"), F.col("t").alias("item"), "negative")
+
+
+def epoch_draw(pairs: DataFrame, group: str, alpha: float, seed: int) -> DataFrame:
+    """As many rows as `pairs` has, dealt over the groups by size ** alpha: a group that gets no more
+    than it has gives its first rows by hash, another one all of its rows, once and again in whole
+    passes and then the first ones. `pass` counts from 0."""
+    key = uniform(F.concat_ws(":", F.col("user").cast("string"), F.col("item").cast("string")), seed)
+    rows = numbered(pairs.select("user", "item", group).withColumn("__k", key), [group, "__k", "user", "item"])
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size"), F.min("place").alias("__first"))  # a row a group
+    quota = alpha_quota(sizes, group, pairs.count(), alpha)
+    x = rows.join(F.broadcast(quota), group).withColumn("__at", F.col("place") - F.col("__first"))
+    n = F.floor(F.col("quota") / F.col("size")) + (F.col("__at") < F.col("quota") % F.col("size")).cast("int")
+    return x.withColumn("__n", n).where("__n > 0").select("user", "item", group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("pass"))
+
+
+def macro_batches(rows: DataFrame, by: list[str], batch: int, macro: int) -> DataFrame:
+    """Rows in the order of `by` with `batch` and `macro`, the number of the group of whole batches that
+    holds at least `macro` rows, the last one what is left."""
+    at = F.floor(F.col("place") / batch)
+    return numbered(rows, by).withColumn("batch", at).withColumn("macro", F.floor(F.col("batch") / -(-macro // batch))).drop("place")

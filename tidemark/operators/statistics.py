@@ -82,3 +82,76 @@ def gates(effects: dict[str, float], margin: float = -0.005) -> dict[str, bool]:
     """Which comparisons are not worse than the margin, and whether all are."""
     out = {k: v >= margin for k, v in effects.items()}
     return out | {"accepted": all(out.values())}
+
+
+def hierarchical_draws(strata: DataFrame, draws: int, seed: int, aggregate: str = "macro") -> DataFrame:
+    """(draw, value): each draw picks as many strata as there are, with replacement, and from each pick as
+    many values (stratum, unit, d) as it has, with replacement; macro is the mean of the picks' means,
+    micro the mean of all values. Picks are hashes of draw and place, so they are the same everywhere;
+    every pick of a value is a row of an equi-join."""
+    from .interactions import numbered
+    from .sampling import uniform
+
+    if aggregate not in ("macro", "micro"):
+        raise ValueError(f"unknown aggregate {aggregate!r}")
+    rows = numbered(strata.select("stratum", "unit", "d"), ["stratum", "unit"])
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.min("place").alias("first"))  # a row a stratum
+    sizes = sizes.select("n", "first", (F.row_number().over(Window.orderBy("stratum")) - 1).alias("s"))
+    m = sizes.count()
+    slot = strata.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(m, 1) - 1))).alias("slot"))
+    key = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c])
+    picked = slot.withColumn("s", F.floor(uniform(key("draw", "slot"), seed) * m).cast("int")).join(F.broadcast(sizes), "s")
+    picked = picked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    place = F.col("first") + F.floor(uniform(key("draw", "slot", "i"), seed) * F.col("n"))
+    got = picked.select("draw", "slot", place.alias("place")).join(rows.select("place", "d"), "place")
+    if aggregate == "micro":
+        return got.groupBy("draw").agg(F.avg("d").alias("value"))
+    return got.groupBy("draw", "slot").agg(F.avg("d").alias("m")).groupBy("draw").agg(F.avg("m").alias("value"))
+
+
+def interval(draws: DataFrame, value: str = "value") -> DataFrame:
+    """(low, high): 95 % percentile interval of the draws."""
+    return draws.agg(F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
+
+
+def compared(runs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(comparison, n, mean, sd, dz) of candidate less base, by seed; runs: (variant, seed, value)."""
+    found = None
+    for a, b in pairs:
+        side = lambda v: runs.where(F.col("variant") == v).select("seed", F.col("value").alias(f"v_{v}"))
+        d = side(a).join(side(b), "seed").select(F.lit(f"{a}-{b}").alias("comparison"), (F.col(f"v_{a}") - F.col(f"v_{b}")).alias("d"))
+        found = d if found is None else found.unionByName(d)
+    return effect(found, ["comparison"])
+
+
+def acceptance(comparisons: DataFrame, margin: float = -0.005) -> DataFrame:
+    """One row of checks from (name, mean, low): the primary difference and its lower bound above 0, the
+    recall's mean above 0, micro and cold not below the margin, decoupling and conditioning above 0; and
+    whether the first five hold, which switches the residual on. A comparison that is missing fails."""
+    one = comparisons.agg(*[F.max(F.when(F.col("name") == n, F.col(c))).alias(f"{n}_{c}") for n in ("primary", "recall", "overall_micro", "cold", "decoupling", "conditioning") for c in ("mean", "low")])
+    holds = {
+        "primary_mean_positive": F.col("primary_mean") > 0, "primary_ci_above_zero": F.col("primary_low") > 0, "macro_recall_mean_positive": F.col("recall_mean") > 0,
+        "overall_micro_noninferior": F.col("overall_micro_low") >= margin, "cold_noninferior": F.col("cold_low") >= margin,
+        "decoupling_supported": F.col("decoupling_low") > 0, "market_conditioning_supported": F.col("conditioning_low") > 0,
+    }
+    out = one.select(*[F.coalesce(ok, F.lit(False)).alias(n) for n, ok in holds.items()])
+    needed = list(holds)[:5]
+    on = F.col(needed[0])
+    for n in needed[1:]:
+        on = on & F.col(n)
+    return out.withColumn("default_residual", F.when(on, "market_reliable").otherwise("none"))
+
+
+def unequal(rows: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
+    """(key, n): groups whose payload is not the same in all rows; as JSON, nulls included."""
+    said = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})
+    return rows.groupBy(*key).agg(F.count_distinct(said).alias("n")).where("n > 1")
+
+
+def report_at(report, subset: str):
+    """The part of a run's report for a subset: in `test`, else in its `subsets`; a missing one is an error."""
+    test = report.get("test", {})
+    found = test.get(subset) or test.get("subsets", {}).get(subset)
+    if found is None:
+        raise KeyError(f"no report of {subset!r}")
+    return found

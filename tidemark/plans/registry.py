@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, evaluation, preparation, splits  # noqa: F401
+from . import content, evaluation, preparation, scoring, splits  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = QUERIES["rank_metrics_micro_macro"]
