@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TILE = 4_096  #: vectors of a chunk
+
 
 def emit_edges(items: DataFrame, values: Column, vocabulary: DataFrame, relation: int) -> DataFrame:
     """(h, r, t): one edge for each value of an item that the vocabulary (key, id) holds."""
@@ -42,22 +46,44 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def unit(x: Column) -> Column:
-    return F.transform(x, lambda v: v.cast("double") / F.greatest(F.sqrt(dot(x, x)), F.lit(1e-12)))
-
-
-def nearest(vectors: DataFrame, k: int, chunks: int) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, chunks: int | None = None) -> DataFrame:
     """(a, b, sim): each vector's k nearest others by cosine (ties to the smaller id), those of no
-    positive cosine dropped afterwards. Chunks of either side meet by an equi-join on the pair of
-    chunks, and each meeting keeps only its k best before the next shuffle."""
-    v = vectors.select("id", unit(F.col("v")).alias("v")).withColumn("c", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
-    left = v.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("c").alias("x"), every.alias("y"))
-    right = v.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("c").alias("y"), every.alias("x"))
-    sims = left.join(right, ["x", "y"]).where("a <> b").select("a", "y", "b", F.round(dot(F.col("va"), F.col("vb")), 9).alias("sim"))
-    best = lambda *p: F.row_number().over(Window.partitionBy(*p).orderBy(F.desc("sim"), "b"))
-    sims = sims.withColumn("r", best("a", "y")).where(F.col("r") <= k)
-    return sims.withColumn("r", best("a")).where(F.col("r") <= k).where("sim > 0").select("a", "b", "sim")
+    positive cosine dropped afterwards. Vectors of one width are dealt into chunks of about `TILE` by
+    hash; a task multiplies one chunk by another and keeps the k best of each of its left vectors, so
+    it holds two chunks and what leaves it is k rows a vector, not all pairs. A null vector takes no
+    part, a zero one is near nothing; an id must stand once."""
+    v = vectors.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    n = chunks or max(1, -(-v.count() // TILE))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    own = F.pmod(F.xxhash64("id"), F.lit(n))
+    left = v.select(own.alias("x"), every.alias("y"), F.lit(0).alias("side"), "id", "v")
+    right = v.select(every.alias("x"), own.alias("y"), F.lit(1).alias("side"), "id", "v")
+
+    def unit_rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, col = t.column("id").to_numpy(), t.column("v").combine_chunks()
+        x = col.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.empty((0, 1))
+        return ids, x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+
+    def meet(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        (ia, xa), (ib, xb) = (unit_rows(t.filter(pa.array(side == i))) for i in (0, 1))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for i in range(0, len(ia) if len(ib) else 0, 512):
+            sim = np.round(xa[i : i + 512] @ xb.T, 9)
+            sim[ia[i : i + 512, None] == ib] = -np.inf
+            kth = np.partition(sim, max(sim.shape[1] - k, 0), axis=1)[:, max(sim.shape[1] - k, 0)]
+            r, c = np.nonzero((sim >= kth[:, None]) & (sim > 0))
+            order = np.lexsort((ib[c], -sim[r, c], r))
+            r, c = r[order], c[order]
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
+            place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+            r, c = r[place < k], c[place < k]
+            out.append((ia[i + r], ib[c], sim[r, c]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "sim"])
+
+    sims = left.unionByName(right).groupBy("x", "y").applyInArrow(meet, "a long, b long, sim double")
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    return sims.withColumn("r", place).where(F.col("r") <= k).select("a", "b", "sim")
 
 
 def fused_graph(graphs: list[tuple[DataFrame, float]]) -> DataFrame:

@@ -281,7 +281,7 @@ KNN = """u AS (SELECT vec_id AS id, [x::DOUBLE / sqrt(list_sum([y::DOUBLE * y::D
 
 def neighbours(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return graph.nearest(v, 4, chunks=4)
+    return graph.nearest(v, 4)
 
 
 @query(f"WITH {KNN} SELECT a, b, round(max(sim), 7) AS sim FROM (SELECT a, b, sim FROM pos UNION ALL SELECT b, a, sim FROM pos) GROUP BY 1, 2")
