@@ -177,7 +177,8 @@ def quotas(total: int | Column, sizes: DataFrame, key: str, size: str, capacity:
     x = sizes.withColumn("__ideal", ideal).withColumn("__base", F.least(F.floor("__ideal"), cap))
     x = x.withColumn("__left", total - F.sum("__base").over(whole)).withColumn("__rest", F.round(F.col("__ideal") - F.col("__base"), 9))
     # a place of round j (from 1) exists for a group with room for j more; the first `left` of all are taken
-    seats = x.withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), F.least(cap - F.col("__base"), F.col("__left"))))).where("__j > 0 and __left > 0")
+    room = F.least(cap - F.col("__base"), F.col("__left")).cast("long")
+    seats = x.where(room >= 1).withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), room)))
     seats = seats.withColumn("__n", F.row_number().over(Window.orderBy("__j", F.desc("__rest"), key))).where("__n <= __left")
     more = seats.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__more"))
     out = x.join(more, F.col(key) == F.col("__k"), "left")
