@@ -4,14 +4,16 @@ Vectors are scaled to length 1 and rotated by a fixed random rotation, which spr
 over all coordinates, then split into `BLOCKS` blocks of coordinates. Two vectors of cosine c are at
 squared distance 2 - 2c; were the distance in every block above its proportional share, the whole
 would be above, so at least one block holds at most its share. Each block is joined by range apart:
-a grid over its first coordinates sends the left side to its own cell and the right side to all
-cells within reach; a cell with many vectors is cut into chunks of either side, so that no task gets
-more than `CHUNK` of each. A pair counts in the first block whose budget it keeps, if the cosine of
-the two whole vectors, in double precision, reaches the threshold.
+a grid over its first coordinates gives every vector a home cell; of two vectors within the budget
+each has the other's home within reach, so it is enough that a vector visits those cells in reach
+that come before its home. A cell's task pairs the vectors at home with one another and with the
+visitors; a cell with many vectors is cut into chunks of either side, so that no task gets more than
+`CHUNK` of each. A pair counts in the first block whose budget it keeps, if the cosine of the two
+whole vectors, in double precision, reaches the threshold.
 
-Equal vectors are one node with a number of copies. A task adds up the links of each of its left
-vectors and returns a spanning forest of its links, so what it returns grows with its vectors and
-not with its pairs.
+Equal vectors are one node with a number of copies. A task adds up the links of each of its vectors
+and returns a spanning forest of its links, so what it returns grows with its vectors and not with
+its pairs.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
 vectors link only with vectors of their own length; equal vectors link with each other; rows that
@@ -35,6 +37,8 @@ GRID = 2
 CHUNK = 8_192
 TILE = 1_024
 SEED = 7
+LEAST_WIDTH = 1 / 64  #: of a cell, which bounds the number of cells whatever the rows and the threshold
+HOME, VISITOR, BOTH, PARTNER = 0, 1, 2, 3  #: left side; right side from another cell; both sides; right side from this cell
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -63,7 +67,7 @@ class Space:
     def cells(self, y: np.ndarray, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Of every row: its own cell in block i, and the cells within reach (rows, cells)."""
         r = np.sqrt(self.budgets[i])
-        width, part = 2 * r, y[:, self.blocks[i]][:, :GRID]
+        width, part = max(2 * r, LEAST_WIDTH), y[:, self.blocks[i]][:, :GRID]
         side = int(np.ceil(1 / width)) * 2 + 3
         to = lambda c: np.clip(np.floor(c / width).astype(np.int64) + side // 2, 0, side - 1)
         own = np.zeros(len(y), np.int64)
@@ -84,7 +88,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     nodes = rows.where("v is not null").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("id").alias("m")).checkpoint()
 
     def deal(batches):
-        """Every vector once for its own cell of each block (side 0) and once for each cell in reach (side 1)."""
+        """Every vector once for its home cell of each block and once for each earlier cell in reach."""
         spaces: dict[int, Space] = {}
         for b in batches:
             raw, ids, copies = b.column("v").to_pylist(), b.column("node").to_numpy(False), b.column("copies").to_numpy(False)
@@ -95,8 +99,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                 y = space.turned(np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(-1, dim))
                 for i in range(len(space.blocks)):
                     own, reach = space.cells(y, i)
-                    for side, cell in [(0, own), *((1, k) for k in reach)]:
-                        ok = cell >= 0
+                    for side, cell, ok in [(HOME, own, own >= 0), *((VISITOR, k, (k >= 0) & (k < own)) for k in reach)]:
                         n = int(ok.sum())
                         if n:
                             yield pa.RecordBatch.from_arrays(
@@ -106,30 +109,40 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
 
     dealt = nodes.select("node", "v", "copies").mapInArrow(deal, "block long, cell long, side int, node long, copies long, v binary")
     # cells are few: a block's grid over [-1, 1] has as many whatever the rows
-    sizes = dealt.groupBy("block", "cell").agg(F.sum(1 - F.col("side")).alias("l"), F.sum("side").alias("r")).where("l > 0")
-    sizes = sizes.select(F.col("block").alias("b2"), F.col("cell").alias("c2"), *(F.ceil(F.col(k) / CHUNK).cast("int").alias(f"n{k}") for k in "lr")).checkpoint()
+    sizes = dealt.groupBy("block", "cell").agg(F.count(F.when(F.col("side") == HOME, 1)).alias("l"), F.count("*").alias("r")).where("l > 0")
+    sizes = sizes.select(F.col("block").alias("b2"), F.col("cell").alias("c2"), *(F.ceil(F.col(k) / CHUNK).cast("long").alias(f"n{k}") for k in "lr")).checkpoint()
     cut = dealt.join(F.broadcast(sizes), (F.col("block") == F.col("b2")) & (F.col("cell") == F.col("c2")))
-    own = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("side") == 0, F.col("nl")).otherwise(F.col("nr")).cast("long"))
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("nr")).otherwise(F.col("nl")) - 1)).alias("other")
-    cut = cut.select("block", "cell", "side", "node", "copies", "v", own.alias("own"), other)
-    task = F.when(F.col("side") == 0, F.struct(F.col("own").alias("x"), F.col("other").cast("long").alias("y"))).otherwise(F.struct(F.col("other").cast("long").alias("x"), F.col("own").alias("y")))
-    cut = cut.withColumn("task", F.xxhash64("block", "cell", task))
+
+    # (side, x, y): the tasks of a row, x the chunk of the left side and y that of the right one
+    chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(2)), F.col(n))
+    to = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+    zero = F.lit(0).cast("long")
+    left = F.transform(F.sequence(zero, F.col("nr") - 1), lambda y: to(HOME, chunk("nl"), y))
+    right = lambda side: F.transform(F.sequence(zero, F.col("nl") - 1), lambda x: to(side, x, chunk("nr")))
+    home = F.when(F.col("nr") == 1, F.array(to(BOTH, zero, zero))).otherwise(F.concat(left, right(PARTNER)))
+    cut = cut.select("block", "cell", "node", "copies", "v", F.explode(F.when(F.col("side") == HOME, home).otherwise(right(VISITOR))).alias("to"))
+    cut = cut.select(F.xxhash64("block", "cell", "to.x", "to.y").alias("task"), "block", "to.side", "node", "copies", "v")
 
     def match(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         dim, i = block // 64, block % 64
         space = Space(dim, cosine)
+        t = t.sort_by("node")
         side = t.column("side").to_numpy()
-        left, right = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
+        left, right = t.filter(pa.array((side == HOME) | (side == BOTH))), t.filter(pa.array(side != HOME))
         out: list[tuple[int, int, int]] = []
         if len(left) and len(right):
             vl, vr = stacked(left.column("v"), dim), stacked(right.column("v"), dim)
-            il, ir, copies = left.column("node").to_numpy(), right.column("node").to_numpy(), right.column("copies").to_numpy()
+            il, ir = left.column("node").to_numpy(), right.column("node").to_numpy()
+            cl, cr = left.column("copies").to_numpy(), right.column("copies").to_numpy()
+            visits = right.column("side").to_numpy() == VISITOR
             yl, yr = space.turned(vl), space.turned(vr)
             sl, sr = yl[:, space.blocks[i]], yr[:, space.blocks[i]]
             half_l, half_r = (sl**2).sum(1), (sr**2).sum(1)
-            links = np.zeros(len(il), np.int64)
-            root = {int(k): int(k) for k in np.concatenate([il, ir])}
+            nl, nr = np.zeros(len(il), np.int64), np.zeros(len(ir), np.int64)
+            names, place = np.unique(np.concatenate([il, ir]), return_inverse=True)
+            pl, pr = place[: len(il)], place[len(il) :]
+            root = np.arange(len(names))
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -137,6 +150,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                     x = root[x]
                 return x
 
+            def tie(u: np.ndarray, w: np.ndarray) -> None:
+                """Links between places; one of each two trees that they join is enough."""
+                while (root[root] != root).any():
+                    root[:] = root[root]
+                ends = np.sort(np.stack([root[u], root[w]], 1), 1)
+                trees, first = np.unique(ends, axis=0, return_index=True)
+                for (a, b), k in zip(trees.tolist(), first.tolist(), strict=True):
+                    a, b = find(a), find(b)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((int(names[u[k]]), int(names[w[k]]), 0))
+
             # one product a pair: s.t - |s|^2 / 2 - |t|^2 / 2 + budget / 2, at least 0 within the budget;
             # in single precision with room, the exact tests follow
             room = (space.budgets[i] + 1e-5) / 2
@@ -144,10 +169,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
             fl = np.hstack([sl, ones(sl), (room - half_l / 2)[:, None]]).astype(np.float32)
             fr = np.hstack([sr, -half_r[:, None] / 2, ones(sr)]).astype(np.float32)
             for a in range(0, len(il), TILE):
-                for b in range(0, len(ir), 4 * TILE):
-                    p, q = np.divmod(np.flatnonzero(fl[a : a + TILE] @ fr[b : b + 4 * TILE].T >= 0), len(fr[b : b + 4 * TILE]))
-                    p, q = p + a, q + b
-                    ok = il[p] != ir[q]
+                # of two vectors at home the one of the smaller node is on the left
+                met = np.flatnonzero(visits | (ir > il[a]))
+                for b in range(0, len(met), 4 * TILE):
+                    of = met[b : b + 4 * TILE]
+                    p, q = np.divmod(np.flatnonzero(fl[a : a + TILE] @ fr[of].T >= 0), len(of))
+                    p, q = p + a, of[q]
+                    ok = visits[q] | (il[p] < ir[q])
                     p, q = p[ok], q[ok]
                     for c in range(0, len(p), 65_536):
                         x, y = p[c : c + 65_536], q[c : c + 65_536]
@@ -162,18 +190,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                                 mine = keeps
                             open_ &= ~keeps
                         x, y = x[mine], y[mine]
-                        np.add.at(links, x, copies[y])
-                        for u, w in zip(il[x].tolist(), ir[y].tolist(), strict=True):
-                            u2, w2 = find(u), find(w)
-                            if u2 != w2:
-                                root[max(u2, w2)] = min(u2, w2)
-                                out.append((u, w, 0))
-            hit = np.flatnonzero(links)
-            out += [(k, k, n) for k, n in zip(il[hit].tolist(), links[hit].tolist(), strict=True)]
+                        np.add.at(nl, x, cr[y])
+                        np.add.at(nr, y, cl[x])
+                        if len(x):
+                            tie(pl[x], pr[y])
+            for ids, links in ((il, nl), (ir, nr)):
+                hit = np.flatnonzero(links)
+                out += [(k, k, n) for k, n in zip(ids[hit].tolist(), links[hit].tolist(), strict=True)]
         cols = list(zip(*out, strict=True)) if out else [()] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["a", "b", "n"])
 
-    cut = cut.select("task", "block", "side", "node", "copies", "v").repartition(max(partitions(spark), 32), "task")
+    cut = cut.repartition(max(partitions(spark), 32), "task")
     found = cut.groupBy("task").applyInArrow(match, "a long, b long, n long").checkpoint()
     comp = components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy(F.col("a").alias("ln")).agg(F.sum("n").alias("n"))
