@@ -34,7 +34,7 @@ from .vectors import packed, stacked
 
 BLOCKS = 4
 GRID = 2
-CHUNK = 8_192
+CHUNK = 32_768
 TILE = 1_024
 SEED = 7
 LEAST_WIDTH = 1 / 64  #: of a cell, which bounds the number of cells whatever the rows and the threshold
