@@ -61,6 +61,7 @@ class PieceModel:
         if sp.normalize(probe) != SPACE + probe.replace(" ", SPACE):
             raise ValueError("only models that keep texts as they are and add a leading space")
         self.plain = frozenset(self.ids.values())
+        self.names = {p: str(i) for p, i in self.ids.items()}
         inner = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         if any(b == SPACE and a != SPACE for a, b in inner):
             raise ValueError("a piece spans the start of a word")
@@ -68,6 +69,8 @@ class PieceModel:
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined and chr(c) != " ")
         self.cut = re.compile(f"([{alone}])") if alone else None
         self.inner = {a + b for a, b in inner}
+        self.single = {p for p in self.ids if len(p) == 1}
+        self.runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.parts: dict[str, list[str]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
@@ -119,8 +122,8 @@ class PieceModel:
                 limit, y = right + 0.5, self.halves(y)[0]
 
     def tokens(self, segment: str) -> list[str]:
-        """Pieces of a segment all of whose neighbouring characters stand together in pieces, by the
-        prefix table; a character that is in no piece is such a segment of its own."""
+        """Pieces of a segment by the prefix table; every character is a piece, or else all neighbours
+        stand together in pieces; a character that is in no piece is a segment of its own."""
         last: list[str] = [""] * (len(segment) + 1)
         fits = self.fits
         if len(fits) > 4 * CACHE_ENTRIES:
@@ -160,13 +163,19 @@ class PieceModel:
         got = self.cache.get(s) or self.older.get(s)
         if got is None:
             inner = self.inner
-            cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inner]
+            # the table needs no cuts where every character is a piece
+            cuts = [] if self.single.issuperset(s) else [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inner]
             if cuts:
                 parts = [self.segment(s[i:j]) for i, j in zip([0, *cuts], [*cuts, len(s)], strict=True)]
                 got = (sum([g[0] for g in parts]), ",".join([g[1] for g in parts]), "".join([g[2] for g in parts]))
             else:
-                ids = self.ids_of(self.tokens(s))
-                got = (len(ids), ",".join(map(str, ids)), self.decode_raw(ids))
+                tokens, name = self.tokens(s), self.names.get
+                names = [name(p) for p in tokens]
+                if None in names:
+                    ids = self.ids_of(tokens)
+                    got = (len(ids), ",".join(map(str, ids)), self.decode_raw(ids))
+                else:  # plain pieces decode to themselves
+                    got = (len(names), ",".join(names), s.replace(SPACE, " "))
         if len(s) <= 256:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.older, self.cache = self.cache, {}
@@ -177,13 +186,16 @@ class PieceModel:
         """The text with its leading space, cut before every word and around characters that are
         in no longer piece."""
         marked = SPACE + text.replace(" ", SPACE)
-        if SPACE + SPACE in marked or marked.endswith(SPACE):
-            runs = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", marked)
-        else:
-            runs = [SPACE + w for w in marked[1:].split(SPACE)]
-        if self.cut is None or not self.cut.search(text):
-            return runs
-        return [s for run in runs for s in (self.cut.split(run) if self.cut.search(run) else (run,)) if s]
+        out: list[str] = []
+        for part in [marked] if self.cut is None else self.cut.split(marked):
+            if SPACE + SPACE in part or part.endswith(SPACE):
+                out += self.runs.findall(part)
+                continue
+            first, *words = part.split(SPACE)
+            if first:
+                out.append(first)
+            out += [SPACE + w for w in words]
+        return out
 
     def encode_text(self, text: str) -> tuple[int, str, str]:
         """Token count, decimal ids joined by commas, and the text that the ids decode to."""
