@@ -5,10 +5,13 @@ The order is cut into fragments, so that a set falls into segments.
 
 Candidates. Two sets of similarity t differ in at most D n-grams, D following from their sizes. With
 more than D fragments some segment must be the same in both. Sets are classed by size (a class spans
-a factor of 1.5; a set that can match the next class takes part there too), a class has D + 3
-fragments, and every non-empty segment gives a key. Pairs with up to two fragments empty in both are
-thus sure to share a key; sets with more empty ones send keys for those as well. Sets that merely
-share a passage share no whole segment, so common passages make no candidates.
+a factor of 1.5; a set that can match the next class takes part there too), a class has D + 3 +
+D / 16 fragments, and every non-empty segment gives a key. A link of two sets leaves at least as many
+fragments alike as the class has fragments beyond the pair's own D; a set with fewer empty fragments
+than that for its largest partner is thus sure to share a segment. Only a set with more empty ones,
+which the spare fragments make very rare, sends keys for those as well: unrelated sets share them, so
+their pairs would grow with the square of the table. Sets that merely share a passage share no whole
+segment, so common passages make no candidates.
 
 Overlaps. For the candidates the order is cut into `PARTS` fragments; the overlap of a pair is
 counted in each apart and summed per pair, and the pair is a link if the sum reaches the threshold.
@@ -43,7 +46,8 @@ from .links import components
 
 PARTS = 8
 TURN = 2  #: fragments counted at a time, which bounds the shuffle files that exist at once
-SLACK = 2  #: empty fragments that a pair may have in common without sending keys for them
+SLACK = 2  #: fragments that a class has to spare, and one more for each `SPARE` differences
+SPARE = 16
 STEP = 1.5
 LEFT, RIGHT = 2_048, 8_192  #: most nodes of a key that meet in one go
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -88,12 +92,17 @@ class Classes:
     def fragments(self, c: int) -> int:
         top = self.first(c + 1) - 1
         d = self.difference(top, top)
-        return 1 if d == 0 else d + 1 + SLACK
+        return 1 if d == 0 else d + 1 + SLACK + d // SPARE
 
     def taking_part(self, size: int) -> list[int]:
         c = self.of(size)
         return [c, c + 1] if 100 * size >= self.percent * self.first(c + 1) else [c]
 
+    def alike(self, size: int, c: int) -> int:
+        """Fewest fragments of class c in which a set of this size is the same as one that it links with."""
+        partner = min(self.first(c + 1) - 1, 100 * size // self.percent)
+        return self.fragments(c) - self.difference(size, partner)
+
     def sketch(self, grams: np.ndarray) -> np.ndarray:
         """Parities of the n-grams by bit; half of the length folds onto the other half to the sketch of
         that length. Counts of few bits scatter more, so few differences get 16 bits each, many of them three."""
@@ -111,7 +120,7 @@ class Classes:
             f = self.fragments(c)
             cuts = np.searchsorted((upper * np.uint64(f)) >> np.uint64(32), np.arange(f + 1, dtype=np.uint64))
             held = np.flatnonzero(np.diff(cuts))
-            if f - len(held) > SLACK:
+            if f - len(held) >= self.alike(len(grams), c):
                 held = np.arange(f)
             seg = sums[cuts[held + 1]] - sums[cuts[held]]
             out.append(mix64(mix64(seg + (cuts[held + 1] - cuts[held]).astype(np.uint64)) * _C + np.uint64(c * 1_000_003) + held.astype(np.uint64)))
