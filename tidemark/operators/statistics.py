@@ -11,6 +11,7 @@ from .interactions import checkpointed
 
 CHUNK = 65_536  #: pairs that a task of a bootstrap holds
 BLOCK = 500  #: draws that it makes
+SPAN = 65_536  #: picks of a stratum that one row stands for until they are made
 
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -88,7 +89,8 @@ def hierarchical_draws(strata: DataFrame, draws: int, seed: int, aggregate: str
     """(draw, value): each draw picks as many strata as there are, with replacement, and from each pick as
     many values (stratum, unit, d) as it has, with replacement; macro is the mean of the picks' means,
     micro the mean of all values. Picks are hashes of draw and place, so they are the same everywhere;
-    every pick of a value is a row of an equi-join."""
+    every pick of a value is a row of an equi-join. Spark takes the picks for as few as the rows that they are
+    made from, so the join is told to hash the values, dealt out by place, and never to broadcast the picks."""
     from .interactions import numbered
     from .sampling import uniform
 
@@ -101,9 +103,12 @@ def hierarchical_draws(strata: DataFrame, draws: int, seed: int, aggregate: str
     slot = strata.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(m, 1) - 1))).alias("slot"))
     key = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c])
     picked = slot.withColumn("s", F.floor(uniform(key("draw", "slot"), seed) * m).cast("int")).join(F.broadcast(sizes), "s")
-    picked = picked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    picked = picked.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SPAN).cast("long"))))
+    # a number of its own, for the few small rows would be put into one task
+    picked = picked.repartition(int(strata.sparkSession.conf.get("spark.sql.shuffle.partitions")), "draw", "slot", "from")
+    picked = picked.withColumn("i", F.explode(F.sequence("from", F.least(F.col("from") + SPAN, "n") - 1)))
     place = F.col("first") + F.floor(uniform(key("draw", "slot", "i"), seed) * F.col("n"))
-    got = picked.select("draw", "slot", place.alias("place")).join(rows.select("place", "d"), "place")
+    got = picked.select("draw", "slot", place.alias("place")).join(rows.select("place", "d").hint("shuffle_hash"), "place")
     if aggregate == "micro":
         return got.groupBy("draw").agg(F.avg("d").alias("value"))
     return got.groupBy("draw", "slot").agg(F.avg("d").alias("m")).groupBy("draw").agg(F.avg("m").alias("value"))
