@@ -3,6 +3,9 @@ and the same rows on every run and every partitioning."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,31 +49,76 @@ def negative_tails(triples: DataFrame, seed: int, tries: int = 4, pool: DataFram
     """(h, r, t, negative): a tail of the same relation (of `pool` (r, t), or of all triples) that is no true
     tail of (h, r), by hash among
     `tries` draws from the relation's numbered tails, or where all are true tails, among those that
-    (h, r) lacks; only triples of an (h, r) that lacks none are left out."""
+    (h, r) lacks; only triples of an (h, r) that lacks none are left out. A triple stays one row throughout:
+    its draws are made and judged where its head's true tails lie together as numbers."""
     tails = (triples if pool is None else pool).select("r", "t").distinct()
     per = Window.partitionBy("r").orderBy("t")
-    tails = tails.withColumn("i", F.row_number().over(per) - 1).withColumnsRenamed({"t": "negative"})
+    tails = tails.withColumn("i", F.row_number().over(per) - 1)
     size = tails.groupBy("r").agg(F.count("*").alias("n"))
-    draw = F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))
-    x = triples.join(F.broadcast(size), "r").withColumn("try", draw)
-    key = F.concat_ws(":", *[F.col(c).cast("string") for c in ("h", "r", "t", "try")])
-    x = x.withColumn("i", F.floor(uniform(key, seed) * F.col("n")).cast("int")).join(tails, ["r", "i"])
-    true = triples.withColumnRenamed("t", "negative")
-    x = x.join(true, ["h", "r", "negative"], "left_anti")
-    drawn = x.groupBy("h", "r", "t").agg(F.min(F.struct("try", "negative")).alias("x")).select("h", "r", "t", F.col("x.negative").alias("negative"))
-
-    # the tail of rank k among those that (h, r) lacks has the number k plus the true ones before it
-    own = Window.partitionBy("h", "r")
-    true = triples.distinct().join(tails.withColumnRenamed("negative", "t"), ["r", "t"])
-    true = true.withColumn("at", F.col("i") - F.row_number().over(own.orderBy("i")) + 1)
-    held = true.groupBy("h", "r").agg(F.count("*").alias("m"))
-    left = triples.distinct().join(drawn, ["h", "r", "t"], "left_anti").join(held, ["h", "r"], "left").fillna(0, ["m"])
-    left = left.join(F.broadcast(size), "r").where("m < n").withColumn("try", F.lit(tries))
-    left = left.select("h", "r", "t", F.floor(uniform(key, seed) * (F.col("n") - F.col("m"))).cast("int").alias("at"), F.lit(1).alias("side"))
-    both = true.join(left.select("h", "r").distinct(), ["h", "r"], "left_semi").select("h", "r", "t", "at", F.lit(0).alias("side")).unionByName(left)
-    before = F.sum(1 - F.col("side")).over(own.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = both.withColumn("i", (F.col("at") + before).cast("int")).where("side = 1").join(tails, ["r", "i"])
-    return drawn.unionByName(chosen.select("h", "r", "t", "negative"))
+    x = triples.select("h", "r", "t").join(F.broadcast(size), "r").join(tails, ["r", "t"], "left")
+    u = lambda k: uniform(F.concat_ws(":", *[F.col(c).cast("string") for c in ("h", "r", "t")], F.lit(str(k))), seed)
+    draws = [F.floor(u(k) * F.col("n")).alias(f"d{k}") for k in range(tries)]
+    dealt = x.repartition("h", "r").sortWithinPartitions("h", "r", "t")
+    dealt = dealt.select("h", "r", "t", F.when(F.col("h").isNotNull(), F.col("i")).cast("long").alias("i"), "n", u(tries).alias("u"), *draws)
+
+    def changed(*columns: pa.Array) -> np.ndarray:
+        """Whether a row differs from the one before it; nulls are alike."""
+        out = np.ones(len(columns[0]), bool)
+        if len(out) > 1:
+            pairs = [(c[1:], c[:-1]) for c in columns]
+            differ = [pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))) for a, b in pairs]
+            out[1:] = np.any([d.to_numpy(zero_copy_only=False) for d in differ], axis=0)
+        return out
+
+    def pick(t: pa.Table) -> pa.RecordBatch:
+        """Whole heads, in order."""
+        t = t.combine_chunks()
+        col = lambda c: t.column(c).combine_chunks()
+        t = t.filter(pa.array(changed(col("h"), col("r"), col("t"))))
+        head = np.cumsum(changed(col("h"), col("r"))) - 1
+        n, held = t.column("n").to_numpy(), ~t.column("i").is_null().to_numpy()
+        wide = np.int64(n.max() + 1)
+        codes = np.sort(head[held] * wide + t.column("i").drop_null().to_numpy())  # true tails, head by head
+        m = np.bincount(head[held], minlength=head[-1] + 1)
+        start = np.cumsum(m) - m
+        got = np.full(len(head), -1, np.int64)
+        for k in range(tries):
+            open_ = np.flatnonzero(got < 0)
+            d = t.column(f"d{k}").to_numpy()[open_]
+            want = head[open_] * wide + d
+            at = np.searchsorted(codes, want)
+            free = np.ones(len(open_), bool)
+            inside = at < len(codes)
+            free[inside] = codes[at[inside]] != want[inside]
+            got[open_[free]] = d[free]
+        # the tail of rank k among those that the head lacks has the number k plus the true ones before it
+        open_ = np.flatnonzero((got < 0) & (m[head] < n))
+        rank = np.floor(t.column("u").to_numpy()[open_] * (n[open_] - m[head[open_]])).astype(np.int64)
+        before = codes - (np.arange(len(codes)) - np.repeat(start, m))
+        got[open_] = rank + np.searchsorted(before, head[open_] * wide + rank, "right") - start[head[open_]]
+        out = t.append_column("at", pa.array(got)).filter(pa.array(got >= 0)).select(["h", "r", "t", "at"]).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], ["h", "r", "t", "i"])
+
+    def run(batches):
+        """The last head of a batch may go on in the next."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not len(b):
+                continue
+            joined = pa.Table.from_batches([held[-1].slice(len(held[-1]) - 1), b]) if held else pa.Table.from_batches([b])
+            cuts = np.flatnonzero(changed(*(joined.column(c).combine_chunks() for c in ("h", "r")))) - (1 if held else 0)
+            cuts = cuts[cuts >= 0] if held else cuts[1:]
+            if len(cuts):
+                if held or cuts[-1]:
+                    yield pick(pa.Table.from_batches([*held, b.slice(0, int(cuts[-1]))]))
+                held, b = [], b.slice(int(cuts[-1]))
+            held.append(b)
+        if held:
+            yield pick(pa.Table.from_batches(held))
+
+    kind = dict(triples.dtypes)
+    drawn = dealt.mapInArrow(run, f"h {kind['h']}, r {kind['r']}, t {kind['t']}, i long")
+    return drawn.join(tails.withColumnsRenamed({"t": "negative"}), ["r", "i"]).select("h", "r", "t", "negative")
 
 
 def bpr_pairs(pairs: DataFrame, homes: DataFrame, catalog: DataFrame, seed: int, tries: int = 4) -> DataFrame:
