@@ -22,7 +22,9 @@ rule the text that the others were made from. Of the pairs that share a key but
 those are counted whose odd sketches (a bit for the parity of the n-grams that fall on it) differ in
 no more bits than the two sets may differ in n-grams, which sketches of linked sets never do. So no
 link between components is lost, pairs that are not near each other are passed over without being
-written, and a link inside a component isn't needed. A key's nodes meet in chunks of bounded size.
+written, and a link inside a component isn't needed. The keys of one main component are counted
+together, so that nodes that share many keys meet, and are named as a pair, once and not once a key;
+their nodes meet in chunks of bounded size.
 
 Cases: null texts and texts without words have the empty set, which links with nothing; a text of
 fewer than n words has its whole sequence as its one n-gram; a null id takes part, and a component
@@ -49,7 +51,7 @@ TURN = 2  #: fragments counted at a time, which bounds the shuffle files that ex
 SLACK = 2  #: fragments that a class has to spare, and one more for each `SPARE` differences
 SPARE = 16
 STEP = 1.5
-LEFT, RIGHT = 2_048, 8_192  #: most nodes of a key that meet in one go
+LEFT, RIGHT = 2_048, 8_192  #: most nodes of a main component's keys that meet in one go
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -293,24 +295,45 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def tasks(side: DataFrame) -> DataFrame:
-    """(task, side, node, size, component): where the nodes of a key meet those of other components;
-    side: (key, node, size, component, main), main one component of the key. One of two such nodes is
-    outside `main`, so those meet all, in chunks of `LEFT` and `RIGHT`."""
+def tasks(side: DataFrame, scratch: Scratch) -> DataFrame:
+    """(task, side, node, size, component, keys): where nodes of the keys of one main component meet
+    those of other components; side: (key, node, size, component, main), main one component of the key.
+    A node comes once with all its keys of a main one. One of two such nodes is outside `main`, so those
+    meet all, in chunks of `LEFT` and `RIGHT`."""
     outside = F.col("component") != F.col("main")
-    per = side.groupBy("key").agg(F.count(F.when(outside, 1)).alias("l"), F.count("*").alias("r")).where("l > 0")
-    per = per.select(F.col("key").alias("k"), *(F.ceil(F.col(n) / LEFT if n == "l" else F.col(n) / RIGHT).alias(n) for n in "lr"))
-    cut = side.join(per, F.col("key") == F.col("k"))
+    met = scratch.put("met", side.groupBy("main", "node", "size", "component").agg(F.collect_list("key").alias("keys")))
+    per = met.groupBy("main").agg(F.count(F.when(outside, 1)).alias("l"), F.count("*").alias("r"))
+    # few are that large: each has more than `LEFT` nodes
+    large = per.where((F.col("l") > LEFT) | (F.col("r") > RIGHT))
+    large = large.select(F.col("main").alias("m"), *(F.ceil(F.col(n) / LEFT if n == "l" else F.col(n) / RIGHT).alias(n) for n in "lr"))
+    cut = met.join(F.broadcast(large), F.col("main") == F.col("m"), "left")
     chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keep = ["key", "node", "size", "component"]
-    # a key of one chunk sends each row once, for both sides (2) or for the right one only
-    one = (F.col("l") == 1) & (F.col("r") == 1)
+    keep = ["main", "node", "size", "component", "keys"]
+    # a main one of one chunk sends each row once, for both sides (2) or for the right one only
     zero = F.lit(0).cast("long")
-    whole = cut.where(one).select(*keep, F.when(outside, 2).otherwise(1).alias("side"), zero.alias("x"), zero.alias("y"))
-    left = cut.where(~one & outside).select(*keep, F.lit(0).alias("side"), chunk("l").alias("x"), every("r").alias("y"))
-    right = cut.where(~one).select(*keep, F.lit(1).alias("side"), every("l").alias("x"), chunk("r").alias("y"))
-    return whole.unionByName(left).unionByName(right).select(F.xxhash64("key", "x", "y").alias("task"), "side", "node", "size", "component")
+    whole = cut.where("m is null").select(*keep, F.when(outside, 2).otherwise(1).alias("side"), zero.alias("x"), zero.alias("y"))
+    left = cut.where(F.col("m").isNotNull() & outside).select(*keep, F.lit(0).alias("side"), chunk("l").alias("x"), every("r").alias("y"))
+    right = cut.where("m is not null").select(*keep, F.lit(1).alias("side"), every("l").alias("x"), chunk("r").alias("y"))
+    sent = whole.unionByName(left).unionByName(right)
+    return sent.select(F.xxhash64("main", "x", "y").alias("task"), "side", "node", "size", "component", "keys")
+
+
+def meetings(group: np.ndarray, side: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the number of the meeting that each attends, in order of meetings: the rows of a group
+    meet by key, or all at once where that makes no more pairs; rows of side 1 meet those that aren't,
+    rows of side 0 those that aren't; `count` keys a row, one after the other in `key`."""
+    row = np.repeat(np.arange(len(group)), count)
+    order = np.lexsort((key, group[row]))
+    row, key = row[order], key[order]
+    at = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (group[row[1:]] != group[row[:-1]])]) - 1
+    pairs = lambda of, rows: np.bincount(of, side[rows] != 1) * np.bincount(of, side[rows] != 0)
+    each = np.arange(len(group))
+    whole = pairs(group, each) <= np.bincount(group[row[np.r_[True, at[1:] != at[:-1]]]], pairs(at, row))
+    each, keyed = each[whole[group]], ~whole[group[row]]
+    of = np.concatenate([group[each], group[-1] + 1 + at[keyed]])
+    order = np.argsort(of, kind="stable")
+    return np.concatenate([each, row[keyed]])[order], np.unique(of[order], return_inverse=True)[1]
 
 
 def open_pairs(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -322,11 +345,11 @@ def open_pairs(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         t = t.combine_chunks()
         task, side, node, size, comp = (t.column(c).to_numpy() for c in ("task", "side", "node", "size", "component"))
         length, flat = words(*t.column("sketch").chunks)
-        group = np.cumsum(np.r_[True, task[1:] != task[:-1]]) - 1
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        n = np.bincount(group[right], minlength=group[-1] + 1)
-        per, first = n[group[left]], (np.cumsum(n) - n)[group[left]]
-        done = np.cumsum(per)
+        row, at = meetings(np.cumsum(np.r_[True, task[1:] != task[:-1]]) - 1, side, *words(*t.column("keys").chunks))
+        left, right = np.flatnonzero(side[row] != 1), np.flatnonzero(side[row] != 0)
+        n = np.bincount(at[right], minlength=at[-1] + 1)
+        per, first = n[at[left]], (np.cumsum(n) - n)[at[left]]
+        left, right, done = row[left], row[right], np.cumsum(per)
         out, i = [np.empty((0, 2), np.int64)], 0
         while i < len(left):
             j = max(i + 1, int(np.searchsorted(done, done[i] - per[i] + (1 << 20), "right")))
@@ -336,7 +359,7 @@ def open_pairs(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             a, b = a[ok], b[ok]
             ok = apart(length, flat, a, b) <= (100 - percent) * (size[a].astype(np.int64) + size[b]) // (100 + percent)
             a, b = node[a[ok]], node[b[ok]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
             i = j
         found = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
@@ -400,8 +423,8 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     side = scratch.put("side", side.select("key", "node", "size", "component", "main"))
     scratch.drop("hubbed")
     mixed = side.where(F.col("component") != F.col("main")).select(F.col("key").alias("mk")).distinct()
-    met = scratch.put("tasks", tasks(side.join(mixed, F.col("key") == F.col("mk"), "left_semi")))
-    scratch.drop("side")
+    met = scratch.put("tasks", tasks(side.join(mixed, F.col("key") == F.col("mk"), "left_semi"), scratch))
+    scratch.drop("side", "met")
     pairs = scratch.put("pairs", open_pairs(met, nodes, percent).join(stars, ["a", "b"], "left_anti"))
     scratch.drop("tasks", "stars", "nodes")
     if pairs.take(1):
